@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact, ngram_join, quality, textkit
+from eventloom.llm import exact, ngram_join, packing, quality, secrets, textkit
 from eventloom.llm.queries import IN_BATCH
 
 
@@ -23,7 +23,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.keep_one(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup)]
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with reported secrets masked."""
+    return secrets.redact(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bins that the documents' tokens are packed in."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: The votes are fitted by expectation-maximisation and the joins are approximate: no stage but exact dedup is SQL.
 ORACLE_SQL = None

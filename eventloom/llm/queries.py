@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, ngram_join, quality
+from . import exact, ngram_join, packing, quality, secrets, tokens
 from .textkit import documents
 
 #: Documents with odd ids play the new batch, those with even ids the snapshot.
 IN_BATCH = F.expr("coalesce(doc_id % 2 <> 0, true)")
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
+def op3_secret_scans(spark, sf_dir):
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op4_token_counts(spark, sf_dir):
+    return tokens.section_tokens(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact.duplicates(documents(spark, sf_dir), IN_BATCH)
 
@@ -23,7 +35,22 @@ def op7_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.near_pairs(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_quality_rules, op7_ngram_jaccard_join)}
+def op8_byte_bpe(spark, sf_dir):
+    return tokens.encode(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op3_secret_scans,
+        op4_token_counts,
+        op5_exact_dedup,
+        op6_quality_rules,
+        op7_ngram_jaccard_join,
+        op8_byte_bpe,
+    )
+}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
