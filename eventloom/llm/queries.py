@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact, ngram_join, packing, quality, secrets, tokens
+from . import ctw, exact, ngram_join, packing, quality, secrets, tokens
 from .textkit import documents
 
 #: Documents with odd ids play the new batch, those with even ids the snapshot.
@@ -39,6 +39,10 @@ def op8_byte_bpe(spark, sf_dir):
     return tokens.encode(documents(spark, sf_dir))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    return ctw.score_corpus(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -49,6 +53,7 @@ QUERIES = {
         op6_quality_rules,
         op7_ngram_jaccard_join,
         op8_byte_bpe,
+        op9_lm_scoring,
     )
 }
 
