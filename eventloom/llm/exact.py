@@ -5,8 +5,11 @@ are cut into buckets; each bucket gets one binary-fuse filter (8-bit fingerprint
 about nine bits a key), built once and written to the shared folder.  A new
 digest goes to its bucket's filter; only positives meet the bucket's exact
 digests, and only confirmed ones have their bytes compared.  Duplicates inside the
-new batch are grouped apart.  No filter is ever broadcast: filters and digests meet
-by a shuffle on the bucket, of which there are as many as the snapshot needs.
+new batch are grouped apart.  Snapshot filters are never broadcast: filters and digests
+meet by a shuffle on the bucket, of which there are as many as the snapshot needs.
+To fetch the texts to compare, one more filter, of the repeated digests alone, leaves
+the other texts where they are; it is sent to all tasks while these digests are at
+most FILTER_KEYS (about 5 MB), else all texts are shuffled.
 
 Defined cases: a null text is no duplicate of anything and always stays; equal empty
 texts are duplicates.  The keeper of a group is the snapshot's least doc_id, or if
@@ -16,14 +19,18 @@ the remaining columns (as JSON) decide, so that of identical rows one stays.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as K
 
 BUCKET_KEYS = 200_000
+FILTER_KEYS = 4_000_000
 
 
 # ------------------------------------------------------- the filter itself
@@ -121,18 +128,38 @@ def screen(filters: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def repeated_digests(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """Digests (md5) that occur more than once: in both parts (through the filters), or within one."""
+    """Digests (h, md5) that occur more than once: in both parts (through the filters), or within one."""
     rows = max(1, snapshot.count())
     buckets = -(-rows // BUCKET_KEYS) * 8
     old = K.materialize(_digests(snapshot, buckets).groupBy("bucket", "h", "digest").count(), "snapshot")
     new = K.materialize(_digests(batch, buckets).groupBy("bucket", "h", "digest").count(), "batch")
     filters = K.materialize(build_filters(old), "fuse")
     positive = screen(filters, new.select("bucket", "h", "digest"))
-    confirmed = positive.join(old.select("bucket", "digest"), ["bucket", "digest"], "left_semi").select("digest")
-    inside = old.where("count > 1").select("digest").union(new.where("count > 1").select("digest"))
+    confirmed = positive.join(old.select("bucket", "digest"), ["bucket", "digest"], "left_semi").select("h", "digest")
+    inside = old.where("count > 1").select("h", "digest").union(new.where("count > 1").select("h", "digest"))
     return K.materialize(confirmed.union(inside).distinct(), "repeated")
 
 
+def flag_candidates(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """docs with __el_maybe: false only where the text is surely not among the repeated ones."""
+    spark = docs.sparkSession
+    if again.count() > FILTER_KEYS:
+        return docs.withColumn("__el_maybe", F.col("text").isNotNull())
+    keys = again.select("h").toArrow()["h"].to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(fuse_build(keys))
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed, seg, count, table = sent.value
+        for b in batches:
+            n = b.num_columns - 1
+            hit = fuse_probe(b.column(n).to_numpy().view(np.uint64), seed, seg, count, table)
+            hit &= b.column(b.schema.get_field_index("text")).is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(hit)], names=[*b.schema.names[:n], "__el_maybe"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__el_maybe", T.BooleanType())])
+    return docs.withColumn("__el_h", F.xxhash64("text")).mapInArrow(flag, schema)
+
+
 def _order(docs: DataFrame, part: Column) -> Column:
     rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
     return F.struct(
@@ -156,7 +183,8 @@ def duplicates(docs: DataFrame, in_batch: Column) -> DataFrame:
     docs = docs.select("doc_id", "text", in_batch.alias("__el_part"))
     snapshot, batch = _parts(docs, F.col("__el_part"))
     again = repeated_digests(snapshot, batch)
-    rows = docs.where("doc_id is not null and text is not null").withColumn("digest", F.md5("text")).join(again, "digest", "left_semi")
+    rows = flag_candidates(docs.where("doc_id is not null and text is not null"), again).where("__el_maybe")
+    rows = rows.withColumn("digest", F.md5("text")).join(again.select("digest"), "digest", "left_semi")
     rows = K.materialize(rows, "candidates")
     keeper = rows.groupBy("digest", "text").agg(F.min(F.struct(F.coalesce(F.col("__el_part").cast("int"), F.lit(1)).alias("p"), F.col("doc_id").alias("i"))).alias("k"))
     keeper = keeper.select("digest", F.col("text").alias("ktext"), F.col("k.i").alias("keeper_id"))
@@ -168,10 +196,12 @@ def keep_one(docs: DataFrame, in_batch: Column) -> DataFrame:
     """docs without the rows whose text an earlier row has; the columns stay as they are."""
     snapshot, batch = _parts(docs.select("text", in_batch.alias("__el_part")), F.col("__el_part"))
     again = repeated_digests(snapshot, batch)
-    d = docs.withColumn("__el_digest", F.md5("text"))
-    same = again.withColumnRenamed("digest", "__el_digest")
-    single = d.join(same, "__el_digest", "left_anti").select(*docs.columns)
-    several = d.join(same, "__el_digest", "left_semi").withColumn("__el_order", _order(docs, in_batch))
+    flagged = flag_candidates(docs, again)
+    maybe = flagged.where("__el_maybe").withColumn("__el_digest", F.md5("text"))
+    same = again.select(F.col("digest").alias("__el_digest"))
+    single = flagged.where("not __el_maybe").select(*docs.columns)
+    single = single.unionByName(maybe.join(same, "__el_digest", "left_anti").select(*docs.columns))
+    several = maybe.join(same, "__el_digest", "left_semi").withColumn("__el_order", _order(docs, in_batch))
     rest = [c for c in docs.columns if c != "text"]
     one = several.groupBy("__el_digest", "text").agg(F.min_by(F.struct(*rest), F.col("__el_order")).alias("__el_row"))
     return single.unionByName(one.select("text", "__el_row.*").select(*docs.columns))
