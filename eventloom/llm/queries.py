@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ctw, exact, ngram_join, packing, quality, secrets, tokens
+from . import ctw, exact, ngram_join, packing, quality, secrets, substring, tokens, toxicity
 from .textkit import documents
 
 #: Documents with odd ids play the new batch, those with even ids the snapshot.
@@ -15,6 +15,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.detect(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_secret_scans(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir))
 
@@ -43,10 +48,15 @@ def op9_lm_scoring(spark, sf_dir):
     return ctw.score_corpus(documents(spark, sf_dir))
 
 
+def op10_substring_dedup(spark, sf_dir):
+    return substring.near_passages(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_toxicity,
         op3_secret_scans,
         op4_token_counts,
         op5_exact_dedup,
@@ -54,6 +64,7 @@ QUERIES = {
         op7_ngram_jaccard_join,
         op8_byte_bpe,
         op9_lm_scoring,
+        op10_substring_dedup,
     )
 }
 
