@@ -8,8 +8,8 @@ digests, and only confirmed ones have their bytes compared.  Duplicates inside t
 new batch are grouped apart.  Snapshot filters are never broadcast: filters and digests
 meet by a shuffle on the bucket, of which there are as many as the snapshot needs.
 To fetch the texts to compare, one more filter, of the repeated digests alone, leaves
-the other texts where they are; it is sent to all tasks while these digests are at
-most FILTER_KEYS (about 5 MB), else all texts are shuffled.
+the other texts where they are; it is sent to all tasks while it takes at most
+fuse.SENT_BYTES, else all texts are shuffled.
 
 Defined cases: a null text is no duplicate of anything and always stays; equal empty
 texts are duplicates.  The keeper of a group is the snapshot's least doc_id, or if
@@ -19,83 +19,14 @@ the remaining columns (as JSON) decide, so that of identical rows one stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from . import fuse
 from . import textkit as K
 
-BUCKET_KEYS = 200_000
-FILTER_KEYS = 4_000_000
-
-
-# ------------------------------------------------------- the filter itself
-
-
-def _slots(keys: np.ndarray, seed: int, seg: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    h = K.mix(keys + np.uint64(seed))
-    base = ((h >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-    start = base * np.uint64(seg)
-    m = np.uint64(seg - 1)
-    g = K.mix(h ^ np.uint64(0xA5A5A5A5DEADBEEF))
-    s = np.stack([start + (g & m), start + np.uint64(seg) + ((g >> np.uint64(21)) & m), start + np.uint64(2 * seg) + ((g >> np.uint64(42)) & m)])
-    return s.astype(np.int64), (h & np.uint64(0xFF)).astype(np.uint8)
-
-
-def fuse_build(keys: np.ndarray) -> tuple[int, int, int, bytes]:
-    """(seed, segment length, segment count, fingerprints) of a three-wise binary-fuse filter of distinct uint64 keys."""
-    keys = np.unique(keys)
-    n = len(keys)
-    seg = 1 << max(2, int(np.floor(np.log(max(n, 2)) / np.log(3.33) + 2.25)))
-    seg = min(seg, 1 << 18)
-    factor = max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(max(n, 3)))
-    count = max(1, -(-int(np.ceil(n * factor)) // seg) - 2 + 1)
-    for seed in range(1, 1000):
-        size = (count + 2) * seg
-        s, fp = _slots(keys, seed, seg, count)
-        alive = np.ones(n, bool)
-        order: list[tuple[np.ndarray, np.ndarray]] = []
-        degree = np.bincount(s.ravel(), minlength=size)
-        ids = np.zeros(size, np.int64)
-        for r in range(3):
-            np.bitwise_xor.at(ids, s[r], np.arange(n))
-        left = n
-        ready = np.flatnonzero(degree == 1)
-        while len(ready):
-            k, where = np.unique(ids[ready], return_index=True)
-            own = ready[where]
-            live = alive[k]
-            k, own = k[live], own[live]
-            alive[k] = False
-            left -= len(k)
-            order.append((k, own))
-            touched = s[:, k].ravel()
-            np.subtract.at(degree, touched, 1)
-            np.bitwise_xor.at(ids, touched, np.tile(k, 3))
-            touched = np.unique(touched)
-            ready = touched[degree[touched] == 1]
-        if not left:
-            table = np.zeros(size, np.uint8)
-            for k, own in reversed(order):
-                table[own] = 0
-                table[own] = fp[k] ^ table[s[0, k]] ^ table[s[1, k]] ^ table[s[2, k]]
-            return seed, seg, count, table.tobytes()
-        if seed % 8 == 0:
-            count += max(1, count // 16)
-    raise RuntimeError("no seed peels this key set")
-
-
-def fuse_probe(keys: np.ndarray, seed: int, seg: int, count: int, table: bytes) -> np.ndarray:
-    t = np.frombuffer(table, np.uint8)
-    s, fp = _slots(keys, seed, seg, count)
-    return (t[s[0]] ^ t[s[1]] ^ t[s[2]]) == fp
-
-
-# ------------------------------------------------------------- Spark side
 
 
 def _digests(docs: DataFrame, buckets: int) -> DataFrame:
@@ -103,17 +34,6 @@ def _digests(docs: DataFrame, buckets: int) -> DataFrame:
     return d.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
 
 
-def build_filters(digests: DataFrame) -> DataFrame:
-    """One filter for each bucket of a snapshot's digests: (bucket, seed, seg, cnt, prints)."""
-
-    def build(table: pa.Table) -> pa.Table:
-        keys = table["h"].to_numpy().view(np.uint64)
-        seed, seg, count, prints = fuse_build(keys)
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "seed": pa.array([seed], pa.int32()), "seg": pa.array([seg], pa.int32()), "cnt": pa.array([count], pa.int32()), "prints": pa.array([prints], pa.binary())})
-
-    return digests.select("bucket", "h").distinct().groupBy("bucket").applyInArrow(build, "bucket int, seed int, seg int, cnt int, prints binary")
-
-
 def screen(filters: DataFrame, digests: DataFrame) -> DataFrame:
     """The digests that their bucket's filter lets through; a bucket without a filter lets none through."""
 
@@ -121,7 +41,7 @@ def screen(filters: DataFrame, digests: DataFrame) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return right.slice(0, 0)
         f = left.to_pylist()[0]
-        hit = fuse_probe(right["h"].to_numpy().view(np.uint64), f["seed"], f["seg"], f["cnt"], f["prints"])
+        hit = fuse.fuse_probe(right["h"].to_numpy().view(np.uint64), f["seed"], f["seg"], f["cnt"], f["prints"])
         return right.filter(pa.array(hit))
 
     return filters.groupBy("bucket").cogroup(digests.groupBy("bucket")).applyInArrow(probe, digests.schema)
@@ -130,36 +50,16 @@ def screen(filters: DataFrame, digests: DataFrame) -> DataFrame:
 def repeated_digests(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     """Digests (h, md5) that occur more than once: in both parts (through the filters), or within one."""
     rows = max(1, snapshot.count())
-    buckets = -(-rows // BUCKET_KEYS) * 8
+    buckets = -(-rows // fuse.BUCKET_KEYS) * 8
     old = K.materialize(_digests(snapshot, buckets).groupBy("bucket", "h", "digest").count(), "snapshot")
     new = K.materialize(_digests(batch, buckets).groupBy("bucket", "h", "digest").count(), "batch")
-    filters = K.materialize(build_filters(old), "fuse")
+    filters = K.materialize(fuse.build_filters(old), "fuse")
     positive = screen(filters, new.select("bucket", "h", "digest"))
     confirmed = positive.join(old.select("bucket", "digest"), ["bucket", "digest"], "left_semi").select("h", "digest")
     inside = old.where("count > 1").select("h", "digest").union(new.where("count > 1").select("h", "digest"))
     return K.materialize(confirmed.union(inside).distinct(), "repeated")
 
 
-def flag_candidates(docs: DataFrame, again: DataFrame) -> DataFrame:
-    """docs with __el_maybe: false only where the text is surely not among the repeated ones."""
-    spark = docs.sparkSession
-    if again.count() > FILTER_KEYS:
-        return docs.withColumn("__el_maybe", F.col("text").isNotNull())
-    keys = again.select("h").toArrow()["h"].to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(fuse_build(keys))
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed, seg, count, table = sent.value
-        for b in batches:
-            n = b.num_columns - 1
-            hit = fuse_probe(b.column(n).to_numpy().view(np.uint64), seed, seg, count, table)
-            hit &= b.column(b.schema.get_field_index("text")).is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(hit)], names=[*b.schema.names[:n], "__el_maybe"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("__el_maybe", T.BooleanType())])
-    return docs.withColumn("__el_h", F.xxhash64("text")).mapInArrow(flag, schema)
-
-
 def _order(docs: DataFrame, part: Column) -> Column:
     rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
     return F.struct(
@@ -183,7 +83,7 @@ def duplicates(docs: DataFrame, in_batch: Column) -> DataFrame:
     docs = docs.select("doc_id", "text", in_batch.alias("__el_part"))
     snapshot, batch = _parts(docs, F.col("__el_part"))
     again = repeated_digests(snapshot, batch)
-    rows = flag_candidates(docs.where("doc_id is not null and text is not null"), again).where("__el_maybe")
+    rows = fuse.flag(docs.where("doc_id is not null and text is not null"), F.xxhash64("text"), again.select("h")).where("__el_maybe")
     rows = rows.withColumn("digest", F.md5("text")).join(again.select("digest"), "digest", "left_semi")
     rows = K.materialize(rows, "candidates")
     keeper = rows.groupBy("digest", "text").agg(F.min(F.struct(F.coalesce(F.col("__el_part").cast("int"), F.lit(1)).alias("p"), F.col("doc_id").alias("i"))).alias("k"))
@@ -196,7 +96,7 @@ def keep_one(docs: DataFrame, in_batch: Column) -> DataFrame:
     """docs without the rows whose text an earlier row has; the columns stay as they are."""
     snapshot, batch = _parts(docs.select("text", in_batch.alias("__el_part")), F.col("__el_part"))
     again = repeated_digests(snapshot, batch)
-    flagged = flag_candidates(docs, again)
+    flagged = fuse.flag(docs, F.expr("if(text is null, null, xxhash64(text))"), again.select("h"))
     maybe = flagged.where("__el_maybe").withColumn("__el_digest", F.md5("text"))
     same = again.select(F.col("digest").alias("__el_digest"))
     single = flagged.where("not __el_maybe").select(*docs.columns)
