@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fuse
 from . import textkit as K
 
 BLOCK = 512
@@ -161,9 +162,9 @@ def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: floa
     place = F.row_number().over(Window.partitionBy("root").orderBy("id")) - 1
     size = F.count("*").over(Window.partitionBy("root"))
     placed = member.select("id", "root", F.floor(place / BLOCK).cast("int").alias("block"), F.ceil(size / BLOCK).cast("int").alias("blocks"))
-    rows_ = docs.join(placed, docs["doc_id"] == placed["id"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine = fuse.flag(docs, F.col("doc_id"), member.select(F.col("id").alias("h"))).where("__el_maybe")
+    rows_ = mine.join(placed, mine["doc_id"] == placed["id"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows_ = rows_.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "text")
-    rows_ = rows_.where("lo = hi or blocks > 1") if "blocks" in rows_.columns else rows_
     sorted_ = rows_.repartition(K.tasks_for(docs.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "doc_id")
     return sorted_.mapInArrow(*verifier(n, threshold)).distinct().union(star)
 
@@ -171,5 +172,5 @@ def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: floa
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one document, that of the least doc_id, of each group connected by near_pairs()."""
     pairs = near_pairs(docs, **how)
-    gone = K.components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).select(F.col("id").alias("__el_id"))
-    return docs.join(gone, docs["doc_id"] == gone["__el_id"], "left_anti")
+    gone = K.components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).select(F.col("id").alias("h"))
+    return fuse.without(docs, K.materialize(gone, "near-gone"))
