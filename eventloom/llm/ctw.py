@@ -30,7 +30,7 @@ from . import textkit as K
 
 DEPTH = 3
 SHARD_CONTEXTS = 300_000
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 4 << 20
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -130,26 +130,30 @@ def subtree(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray, depth: int = DEPTH
     return np.concatenate(keys), np.concatenate(fixed), np.concatenate(ones), log_pw
 
 
-def contexts(buf: np.ndarray, off: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+def contexts(buf: np.ndarray, off: np.ndarray, depth: int = DEPTH, kind: type = np.int64) -> np.ndarray:
     """Of each byte the preceding depth bytes, the last one highest; zeros before a document's start."""
-    out = np.zeros(len(buf), np.int64)
-    inside = np.arange(len(buf)) - np.repeat(off[:-1], np.diff(off))
+    out = np.zeros(len(buf), kind)
+    start = off[:-1][np.diff(off) > 0]
     for d in range(1, depth + 1):
-        b = np.zeros(len(buf), np.int64)
-        b[d:] = buf[:-d] if d <= len(buf) else 0
-        b[inside < d] = 0
-        out |= b << (8 * (depth - d))
+        b = np.zeros(len(buf), kind)
+        b[d:] = buf[:-d]
+        for e in range(d):
+            at = start + e
+            b[at[at < len(buf)]] = 0
+        out |= b << kind(8 * (depth - d))
     return out
 
 
 def count(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(last, ctx, byte, n) over all documents."""
 
+    small = np.uint32
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches, COUNT_BYTES):
             buf, off = K.text_bytes(b.column(0))
-            gram, n = np.unique(contexts(buf, off, depth) << 8 | buf, return_counts=True)
-            yield pa.record_batch([pa.array(gram), pa.array(n)], ["gram", "n"])
+            gram, n = np.unique(contexts(buf, off, depth, small if depth <= 3 else np.int64) << 8 | buf, return_counts=True)
+            yield pa.record_batch([pa.array(gram.astype(np.int64)), pa.array(n)], ["gram", "n"])
 
     grams = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     ctx = F.shiftright("gram", 8)
