@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
+_BYTES, _DEFAULTS = "spark.sql.execution.arrow.maxBytesPerBatch", (str(64 << 20), str((1 << 31) - 1))
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240117).integers(1, 1 << 64, 256, dtype=np.uint64)
@@ -30,6 +31,13 @@ _pow = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 # ---------------------------------------------------------------- Spark side
 
 
+def tune(spark: SparkSession) -> None:
+    """Keep Arrow batches to BATCH_BYTES, where the session says nothing else: texts are long, and a batch lies in the
+    JVM's and in the worker's memory at once."""
+    if spark.conf.get(_BYTES).rstrip("b") in _DEFAULTS:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or where that is unset one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back."""
     spark = df.sparkSession
+    tune(spark)
     path = f"{shared_dir(spark)}/eventloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -60,6 +69,7 @@ def tasks_for(spark: SparkSession) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
