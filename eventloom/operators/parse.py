@@ -53,7 +53,7 @@ def tidy_release(c: Column) -> Column:
     return F.regexp_replace(t, r"(?i)\b(jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec)\.", "$1")
 
 
-DEATH = r"(?i)\b(?:died|passed away|pronounced (?:dead|deceased)|was found (?:dead|unresponsive))\b"
+DEATH = r"(?is)\b(?:died|passed away|pronounced (?:dead|deceased)|was found (?:dead|unresponsive))\b"
 
 
 def death_sentence(c: Column) -> Column:
@@ -81,12 +81,13 @@ def release_fields(df: DataFrame, col: str) -> DataFrame:
     state_upper = F.regexp_extract(all_, r"(?:^|\d{4} )([A-Z][A-Z .'-]+?), ([A-Z]{2})\b", 2)
     from_name = F.nullif(F.regexp_extract(all_, rf"({_NAME}), an? \d{{1,3}}-year-old", 1), F.lit(""))
     from_sentence = F.nullif(F.regexp_extract(s, rf"({_NAME}),", 1), F.lit(""))
-    dated = dates.textual(s)
+    after = F.regexp_extract(s, DEATH + "(.*)$", 1)
+    dated = dates.textual(after)
     place = F.nullif(F.regexp_extract(s, r" (?:at|in) (?:the )?((?:[A-Z][\w.'-]+ ?){1,7})", 1), F.lit(""))
     out = t.withColumns(
         {
             "person_name": F.coalesce(from_name, from_sentence),
-            "date_of_death": F.coalesce(dated, dates.infer_year(s, F.col("release_date"))),
+            "date_of_death": F.coalesce(dated, dates.infer_year(after, F.col("release_date")), dates.textual(s)),
             "age": F.regexp_extract(all_, r"(\d{1,3})-year-old", 1).try_cast("int"),
             "nationality": F.nullif(F.regexp_extract(all_, r"-year-old[\w\s]*? (?:from|of) ([A-Z][a-z]+(?: [A-Z][a-z]+)?)", 1), F.lit("")),
             "city": F.when(city_upper != "", F.initcap(F.lower(city_upper))),
