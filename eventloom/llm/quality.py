@@ -67,6 +67,7 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
 
     before = np.zeros(len(buf), np.uint8)
     before[1:] = buf[:-1]
+    before[off[:-1][off[:-1] < len(buf)]] = 0
     n_docs = len(off) - 1
     doc = np.repeat(np.arange(n_docs, dtype=np.uint64), np.diff(first))
     key = np.sort((doc << np.uint64(40)) | (wh >> np.uint64(24)))
@@ -123,7 +124,8 @@ def estimate(patterns: list[tuple[int, int]], n_rules: int, prior: float = 0.85,
     Row 0 is P(votes good | good, votes), row 1 P(votes bad | bad, votes); abstaining says nothing.
     They start at 0.99 and 0.4 and are drawn there by ten pseudo-votes.  A rule may miss most
     bad documents but is taken to speak ill of a bad document at least twice as often as of a
-    good one, and ill of at most one good document in a hundred; this also fixes which class is which.
+    good one, and ill of at most one good document in a hundred; while estimating, a document that no
+    rule speaks ill of counts as good.  This also fixes which class is which.
     """
     acc, pi = np.stack([np.full(n_rules, 0.99), np.full(n_rules, 0.4)]), prior
     if not patterns:
@@ -131,7 +133,7 @@ def estimate(patterns: list[tuple[int, int]], n_rules: int, prior: float = 0.85,
     code, count = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
     votes = code[:, None] // 3 ** np.arange(n_rules) % 3
     for _ in range(rounds):
-        post = posterior(votes, acc, pi)
+        post = np.where((votes == 1).any(1), posterior(votes, acc, pi), 1.0)
         new = np.empty_like(acc)
         for row, vote, weight in ((0, 2, post * count), (1, 1, (1 - post) * count)):
             new[row] = (weight @ (votes == vote) + 10 * (0.99, 0.4)[row]) / (weight @ (votes > 0) + 10)

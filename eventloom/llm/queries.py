@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import ctw, exact, ngram_join, packing, quality, secrets, substring, tokens, toxicity
 from .textkit import documents
 
-#: Documents with odd ids play the new batch, those with even ids the snapshot.
-IN_BATCH = F.expr("coalesce(doc_id % 2 <> 0, true)")
+def in_batch() -> Column:
+    """Documents with odd ids play the new batch, those with even ids the snapshot."""
+    return F.expr("coalesce(doc_id % 2 <> 0, true)")
 
 
 def op1_best_fit_packing(spark, sf_dir):
@@ -29,7 +31,7 @@ def op4_token_counts(spark, sf_dir):
 
 
 def op5_exact_dedup(spark, sf_dir):
-    return exact.duplicates(documents(spark, sf_dir), IN_BATCH)
+    return exact.duplicates(documents(spark, sf_dir), in_batch())
 
 
 def op6_quality_rules(spark, sf_dir):

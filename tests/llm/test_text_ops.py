@@ -1,0 +1,242 @@
+"""Packing, secrets, tokens, encoding, quality and toxicity."""
+
+import base64
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from eventloom.llm import bpe, packing, quality, secrets, tokens, toxicity
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return bpe.Bpe.load()
+
+
+@pytest.fixture(scope="module")
+def other():
+    """The same vocabulary in another library."""
+    tiktoken = pytest.importorskip("tiktoken")
+    with open(bpe.TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+TEXT = st.text(st.sampled_from("abe' s\n1té.ldrv\t日½ 　mt"), max_size=50) | st.text(max_size=30)
+
+
+@settings(max_examples=150, deadline=None)
+@given(text=TEXT)
+def test_encoding(vocabulary, other, text):
+    ids = vocabulary.encode(text)
+    assert ids == other.encode_ordinary(text)
+    assert vocabulary.decode(ids) == text.encode()
+
+
+def test_edits(vocabulary, other):
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choice("ab e' s\n1té.ll") for _ in range(n))
+    for _ in range(80):
+        state = bpe.PrefixState(vocabulary, draw(rng.randint(0, 40)))
+        for _ in range(4):
+            x = state.text.decode()
+            i = rng.randint(0, len(x))
+            j = min(len(x), i + rng.randint(0, 5))
+            state.edit(len(x[:i].encode()), len(x[:j].encode()), draw(rng.randint(0, 6)))
+            assert state.ids() == other.encode_ordinary(state.text.decode())
+        state.append(draw(9))
+        assert state.ids() == other.encode_ordinary(state.text.decode())
+
+
+def test_encode_query(spark, odd_docs, other, no_docs):
+    texts = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
+    rows = tokens.encode(odd_docs).collect()
+    assert len(rows) == 12
+    for r in rows:
+        if r["doc_id"] is not None and texts[r["doc_id"]] is not None:
+            assert r["ids"] == other.encode_ordinary(texts[r["doc_id"]]) and r["round_trip"] and r["n_tokens"] == len(r["ids"])
+        elif r["doc_id"] == 1:
+            assert r["ids"] is None and r["round_trip"] is None
+    assert tokens.encode(no_docs).count() == 0
+
+
+def brute_sections(text, ids, vocabulary, rule):
+    bounds, at = [0], 0
+    raw = text.encode()
+    bounds += [i + 1 for i, b in enumerate(raw) if b == 10 and i + 1 < len(raw)]
+    count = [0.0] * len(bounds)
+    owner = [max(k for k in range(len(bounds)) if bounds[k] <= i) for i in range(len(raw))]
+    for t in ids:
+        mine = owner[at : at + len(vocabulary.bytes[t])]
+        at += len(mine)
+        if rule == "first":
+            count[mine[0]] += 1
+        elif rule == "majority":
+            count[max(sorted(set(mine)), key=mine.count)] += 1
+        else:
+            for k in set(mine):
+                count[k] += mine.count(k) / len(mine)
+    return count
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_sections(spark, vocabulary, rule):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab \n\n\n.é") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["a\n\n\n\nb", "\n", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sorted(tokens.section_tokens(docs, rule).collect(), key=lambda r: (r["doc_id"], r["section"])):
+        got.setdefault(r["doc_id"], []).append(r["n_tokens"])
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == pytest.approx(brute_sections(t, vocabulary.encode(t), vocabulary, rule) if t else [])
+
+
+def test_sections_odd(spark, odd_docs, no_docs):
+    assert {r["doc_id"] for r in tokens.section_tokens(odd_docs).collect()} == {None, 3, 5, 6, 7, 8, 10}
+    assert tokens.section_tokens(no_docs).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_pack(lengths):
+    sizes = (16, 32, 64)
+    lengths = sorted(lengths, reverse=True)
+    placed = packing.pack(lengths, sizes)
+    assert len(placed) == len(lengths)
+    bins = {}
+    for (b, at), n in zip(placed, lengths):
+        assert at == bins.get(b, 0)  # laid end to end
+        bins[b] = at + n
+    kept = packing.shrink(np.array(list(bins.values()), np.int64), sizes)
+    assert all(used <= cap and (cap == 16 or used > cap // 2) for used, cap in zip(bins.values(), kept))
+
+
+def test_pack_is_best_fit():
+    # 40 opens a bin, 30 can't share it under 64, 20 fits best beside 40, then 4 and 30
+    assert [b for b, _ in packing.pack([40, 30, 20, 4], (64,))] == [0, 1, 0, 0]
+
+
+def test_pack_documents(spark, odd_docs, no_docs, vocabulary):
+    rows = packing.pack_documents(odd_docs).collect()
+    total = sum(len(vocabulary.encode(r["text"])) for r in odd_docs.collect() if r["text"])
+    assert sum(r["n_tokens"] for r in rows) == total
+    bins = {}
+    for r in rows:
+        bins.setdefault((r["part"], r["bin"]), []).append(r)
+    for b in bins.values():
+        assert sum(r["n_tokens"] for r in b) == b[0]["filled"] <= b[0]["capacity"]
+        assert all(x["filled"] > c or x["capacity"] <= c for x in b for c in packing.SIZES if c < x["capacity"])
+    assert sum(r["doc_id"] == 7 for r in rows) == 2
+    assert packing.pack_documents(no_docs).count() == 0
+
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+@pytest.mark.parametrize(
+    ("text", "n"),
+    [
+        (f'x token = "{HEX}" y', 1),
+        (f"export API_KEY={HEX}", 1),
+        (f"password: Zx8#{HEX}", 0),
+        ("aws_secret_access_key = wJalrXUtnFEMIqK7MDENGbPxRfiCYzz9b1c2d3", 1),
+        ('token = "your_token_here_your_token_here"', 0),
+        ('token = "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx"', 0),
+        (f"commit {HEX} is here", 0),
+        ("authorization of the representative", 0),
+        (f'token = "{HEX}" and password = "q9Zr7LmT2xVb8KcN4wYs" end', 2),
+    ],
+)
+def test_secret_rule(text, n):
+    assert len(secrets.found(secrets.compressor(""), text)) == n
+
+
+def test_secret_scan(spark, odd_docs, no_docs):
+    extra = odd_docs.limit(2).selectExpr("CAST(50 + doc_id AS long) AS doc_id", f"'é token = \"{HEX}\" z' AS text", "lang", "source", "n_chars", "digest", "h", "bucket", "id", "rep", "n")
+    docs = odd_docs.unionByName(extra)
+    rows = secrets.scan(docs).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in rows} == {(51, 11, 51), (52, 11, 51)}
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == 14
+    done = [r for r in clean.collect() if r["doc_id"] in (51, 52)]
+    assert all(r["text"] == 'é token = "[SECRET]" z' and r["n_chars"] == len(r["text"]) for r in done)
+    assert secrets.scan(no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
+
+
+def brute_measures(text):
+    text = text or ""
+    w = [x for x in text.replace("\x0b", " ").replace("\x0c", " ").split()]
+    chars = "".join(w)
+    low = ["".join(c.lower() if c.isascii() else c for c in x) for x in w]
+    raw = text.encode()
+    return {
+        "n": len(w),
+        "c": len(chars),
+        "sym": sum(c in "#$%&*=<>^~{}\\|@_" for c in text),
+        "runs": sum(a == b and chr(a) in "!?#$%&*.,;:" for a, b in zip(raw, raw[1:])),
+        "u": len(set(low)),
+        "same": sum(a == b for a, b in zip(low, low[1:])),
+        "stop": sum(x in quality.STOP for x in low),
+        "bar": sum(x == "|" for x in low),
+    }
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("aAé.!| \n&the"), max_size=40), min_size=1, max_size=6))
+def test_measures(texts):
+    m = quality.measures(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        want = brute_measures(t)
+        assert {k: int(m[k][i]) for k in want} == want
+
+
+def test_quality_em(spark, odd_docs, no_docs, prose):
+    rows = [(i, prose(80)) for i in range(200)] + [(1000 + i, " ".join(w.upper() + "!!" for w in prose(60).split())) for i in range(30)] + [(2000 + i, "word " * 70) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    # row by row, without patterns
+    code = quality.votes(pa.array([t for _, t in rows]))
+    acc, pi = quality.estimate([(int(c), 1) for c in code], len(quality.NAMES))
+    post = quality.posterior(code[:, None] // 3 ** np.arange(len(quality.NAMES)) % 3, acc, pi)
+    for (i, _), p in zip(rows, post):
+        assert out[i]["posterior"] == pytest.approx(p, abs=1e-6)
+    assert sum(out[i]["keep"] for i, _ in rows if i < 1000) >= 195
+    assert not any(out[i]["keep"] for i, _ in rows if i >= 1000)
+    kept = quality.keep_good(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert quality.quality(odd_docs).count() == 12
+    assert quality.quality(no_docs).count() == 0 and quality.keep_good(no_docs).count() == 0
+
+
+BAD = ["grumblefax", "snorkwit", "blightmug"]
+
+
+def test_toxicity(spark, prose, odd_docs, no_docs):
+    rng = random.Random(4)
+
+    def text(toxic, spell=lambda w: w):
+        w = prose(rng.randint(40, 200)).split()
+        for _ in range(5 if toxic else 0):
+            w.insert(rng.randint(0, len(w)), spell(rng.choice(BAD)))
+        return " ".join(w)
+
+    y = np.array([i % 3 == 0 for i in range(300)], int)
+    model = toxicity.train([text(v) for v in y], y)
+    score = lambda ts: model.scores(*toxicity._column(ts)) > model.threshold
+    assert score([text(True) for _ in range(60)]).mean() > 0.9
+    assert score([text(False) for _ in range(60)]).mean() < 0.1
+    unseen = [text(True, lambda w: w[:4] + rng.choice("xyz") + w[4:]) for _ in range(60)]
+    assert score(unseen).mean() > 0.6  # misspellings share n-grams
+    rows = {r["doc_id"]: r for r in toxicity.detect(odd_docs, model).collect()}
+    assert rows[1]["toxicity"] == 0 and rows[2]["toxic"] is False
+    assert toxicity.detect(no_docs, model).count() == 0
+    labels = spark.createDataFrame([(10, 1), (10, 0), (None, 1), (7, None), (8, 1)], "doc_id long, toxic int")
+    assert [tuple(r) for r in toxicity.labelled(odd_docs, labels).collect()] == [("ties", 1)]
+    assert toxicity.fit(no_docs, labels).scores(*toxicity._column(["x"])).max() < 0.5
+
+
