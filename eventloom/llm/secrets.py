@@ -71,23 +71,30 @@ def compressor(identifiers: str) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def novelty(z: zstandard.ZstdCompressor, text: str, start: int, end: int) -> int:
-    """Bytes that text[start:end] adds to the compressed text around it."""
-    before, after = text[max(0, start - CONTEXT) : start].encode(), text[end : end + CONTEXT].encode()
-    # the context comes first, so that the string may copy from both sides of it
-    around = before + b"\n" + after + b"\n"
-    return len(z.compress(around + text[start:end].encode())) - len(z.compress(around))
+def novelty(z: zstandard.ZstdCompressor, around: str, value: str) -> int:
+    """Bytes that the value adds to the compressed text around it."""
+    context = around.encode() + b"\n"
+    return len(z.compress(context + value.encode())) - len(z.compress(context))
 
 
 def found(z: zstandard.ZstdCompressor, text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, name, marginal bytes) of the secrets of a text."""
-    out = []
-    for m in candidates(text):
+    """(start, end, name, marginal bytes) of the secrets of a text.
+
+    Candidates' values are blanked in the text around, else a secret that stands there twice would explain itself.
+    """
+    matches, out = list(candidates(text)), []
+    blank, last = [], 0
+    for m in matches:
+        start, end = m.span("value")
+        blank += [text[last:start], " " * (end - start)]
+        last = end
+    masked = "".join(blank) + text[last:]
+    for m in matches:
         start, end = m.span("value")
         value = m["value"]
         mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or (value.lower() != value and value.upper() != value)
-        extra = novelty(z, text, start, end)
-        if mixed and extra >= NOVELTY * len(value.encode()):
+        around = masked[max(0, start - CONTEXT) : start] + "\n" + masked[end : end + CONTEXT]
+        if mixed and (extra := novelty(z, around, value)) >= NOVELTY * len(value.encode()):
             out.append((start, end, m["name"], extra))
     return out
 

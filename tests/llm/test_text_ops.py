@@ -149,6 +149,7 @@ HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
         ('token = "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx"', 0),
         (f"commit {HEX} is here", 0),
         ("authorization of the representative", 0),
+        (f'token = "{HEX}" and again token = "{HEX}" end', 2),
         (f'token = "{HEX}" and password = "q9Zr7LmT2xVb8KcN4wYs" end', 2),
     ],
 )
