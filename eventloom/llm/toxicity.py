@@ -5,7 +5,7 @@ of 3 to 6, with its ends marked, and of the whole word, each hashed to one of BU
 misspelling shares most of its vectors with the word.  The mean over a window of WINDOW words (a shorter one is
 filled up with zeros; a word that came within the last WINDOW words is left out) goes to a softmax
 of two classes.  Embeddings and softmax are trained jointly with numpy on the labelled documents: a sample of at most
-PER_CLASS of each label, the least by a hash of doc_id.  Only whole documents are labelled, so each
+SAMPLE (clean, toxic) documents, the least by a hash of doc_id.  Only whole documents are labelled, so each
 later epoch takes as toxic the windows of toxic documents that the model finds
 most so.  A document's score is its highest window's; the threshold is set on
 a fifth of the sample kept out of training.
@@ -32,7 +32,8 @@ from .bpe import LETTER, NUMBER, char_classes
 
 BUCKETS, DIM, LOW, HIGH = 1 << 18, 8, 3, 6
 WINDOW, STRIDE = 40, 20
-PER_CLASS, SEGMENTS, EPOCHS, BATCH, RATE, DECAY = 3000, 6, 12, 512, 0.4, 0.02
+SAMPLE = (6000, 3000)
+SEGMENTS, EPOCHS, BATCH, RATE, DECAY = 6, 12, 512, 0.4, 0.02
 _folded: list[np.ndarray] = []
 
 
@@ -49,10 +50,7 @@ def _fold() -> np.ndarray:
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, code point hashes of the whole buffer with a prefix for the words' letters, and each document's first word.
-
-    Returns word starts and ends (in code points), code point hashes and first words.
-    """
+    """Starts and ends of all words in code points, hashes of the code points, and each document's first word (one more at the end)."""
     cp = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     doc = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[off]
     ink = np.isin(char_classes()[cp], (LETTER, NUMBER))
@@ -65,14 +63,11 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, _fold()[cp], np.searchsorted(start, doc)
 
 
-def distinct(start: np.ndarray, end: np.ndarray, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(an instance of each distinct word, index of its distinct word for each word)."""
+def word_hashes(start: np.ndarray, end: np.ndarray, cp: np.ndarray) -> np.ndarray:
     up, down = K.powers(len(cp) + 1)
     p = np.zeros(len(cp) + 1, np.uint64)
     np.cumsum(cp * up[: len(cp)], out=p[1:])
-    h = K.mix((p[end] - p[start]) * down[start])
-    _, sample, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return sample, inverse
+    return K.mix((p[end] - p[start]) * down[start])
 
 
 def spread(inverse: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +129,7 @@ class Model:
         start, end, cp, first = words(buf, off)
         if not len(start):
             return out
-        sample, inverse = distinct(start, end, cp)
+        _, sample, inverse = np.unique(word_hashes(start, end, cp), return_index=True, return_inverse=True)
         bucket, o = ngrams(start[sample], end[sample], cp)
         each = np.add.reduceat(self.weight[bucket], o[:-1]) / np.diff(o)
         kept, first = spread(inverse, first)
@@ -149,16 +144,38 @@ def _column(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return K.text_bytes(pa.array(texts, pa.large_string()))
 
 
+def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word of each word, each text's first word, buckets of the distinct words end to end and their offsets.
+
+    Texts are read a few hundred at a time, so that only numbers are kept of them.
+    """
+    hashes, counts, keys, grams, sizes = [], [], [], [], []
+    known = np.zeros(0, np.uint64)
+    for at in range(0, len(texts), 256):
+        start, end, cp, first = words(*_column(texts[at : at + 256]))
+        h = word_hashes(start, end, cp)
+        hashes.append(h)
+        counts.append(np.diff(first))
+        u, sample = np.unique(h, return_index=True)
+        new = ~np.isin(u, known)
+        bucket, o = ngrams(start[sample[new]], end[sample[new]], cp)
+        keys.append(u[new])
+        grams.append(bucket.astype(np.int32))
+        sizes.append(np.diff(o))
+        known = np.union1d(known, u)
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    word = order[np.searchsorted(every[order], np.concatenate(hashes))].astype(np.int32)
+    return word, np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(grams), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     """Fit embeddings and softmax jointly on documents labelled 0 or 1; see the module's text."""
     labels = np.asarray(labels)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), -50.0, 0.5)
     rng = np.random.default_rng(seed)
-    buf, off = _column(texts)
-    start, end, cp, first = words(buf, off)
-    sample, word = distinct(start, end, cp)
-    bucket, o = ngrams(start[sample], end[sample], cp)
+    word, first, bucket, o = vocabulary(texts)
     kept, first = spread(word, first)
     word = word[kept]
     held = rng.random(len(texts)) < 0.2
@@ -203,8 +220,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
         y_all = labels[doc[chosen]]
         share = np.bincount(y_all, minlength=2) / len(y_all)
         balance = (0.5 / np.maximum(share, 1e-6)).astype(np.float32)
-        for at in range(0, len(chosen), BATCH):
-            w = chosen[at : at + BATCH]
+        step = min(BATCH, max(16, len(chosen) // 40))
+        for at in range(0, len(chosen), step):
+            w = chosen[at : at + step]
             y = labels[doc[w]]
             mean, n, u, inv, m, grams = forward(w, emb)
             s = mean @ soft + bias
@@ -227,32 +245,34 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Model:
     scalar = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
     model = Model(scalar, float(bias[1] - bias[0]), 0.5)
     test = held if 0 < labels[held].sum() < held.sum() else np.ones(len(texts), bool)
-    model.threshold = best_threshold(model.scores(*_column([t for t, h in zip(texts, test) if h])), labels[test])
+    held_texts = [t for t, h in zip(texts, test) if h]
+    scores = [model.scores(*_column(held_texts[i : i + 256])) for i in range(0, len(held_texts), 256)]
+    model.threshold = best_threshold(np.concatenate(scores), labels[test])
     return model
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """Where F1 is best; in the middle of the gap."""
+    """Where F0.5 is best, since clean documents are many more than in the sample; in the middle of the gap."""
     order = np.argsort(-score)
     s, t = score[order], y[order]
     hit = np.cumsum(t)
-    f1 = 2 * hit / (np.arange(len(t)) + 1 + t.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    i = int(np.argmax(f1))
+    f = 1.25 * hit / (np.arange(len(t)) + 1 + 0.25 * t.sum())
+    f[:-1][s[:-1] == s[1:]] = -1
+    i = int(np.argmax(f))
     return float((s[i] + (s[i + 1] if i + 1 < len(s) else 0)) / 2)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(text, toxic) of the sample: per_class documents a label at most, the least by hash of doc_id."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
+    """(text, toxic) of the sample: so many documents a label at most, the least by hash of doc_id."""
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
     one = one.where("toxic = other").select("doc_id", "toxic")
-    least = [one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    sample = least[0].union(least[1])
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
+    least = [one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y]) for y in (0, 1)]
+    chosen = least[0].union(least[1])
+    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    t = labelled(docs, labels, per_class).toArrow()
+def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
+    t = labelled(docs, labels, sample).toArrow()
     return train(t["text"].to_pylist(), t["toxic"].to_numpy().astype(np.int64))
 
 
