@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def string_list(c: Column) -> Column:
     """A JSON array of strings, or else a comma list, as an array without blanks."""
     plain = F.split(F.coalesce(c, F.lit("")), ",")
-    return F.filter(F.transform(F.coalesce(F.from_json(c, "array<string>"), plain), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(F.from_json(c, "array<string>"), plain), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def json_array_in(c: Column, schema: str) -> Column:

@@ -92,7 +92,7 @@ def normalize(df: DataFrame, access_date: str) -> DataFrame:
     )
     df = df.withColumns(
         {
-            "aliases": F.coalesce(F.filter(F.transform("aliases", F.trim), lambda x: x != ""), F.array().cast("array<string>")),
+            "aliases": F.coalesce(F.filter(F.transform("aliases", lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>")),
             "sources": F.coalesce(F.transform(F.filter("sources", keep), clean), F.array().cast(f"array<{SOURCE}>")),
             "city": short_place(c("city"), 60, 4),
             "state": short_place(c("state"), 30, 3),
