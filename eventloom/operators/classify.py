@@ -44,7 +44,7 @@ def relevant(c: Column, keywords: Iterable[str], case_words: Iterable[str] = (),
     """At least so many distinct keywords (case_words count as whole words in their own case), or the protest pattern."""
     found = F.size(text.hits(c, keywords))
     for w in sorted(case_words):
-        found = found + F.coalesce(c.rlike(rf"\b{w}\b").cast("int"), F.lit(0))
+        found = found + F.coalesce(c.rlike(r"(?<![\p{L}\p{N}_])" + w + r"(?![\p{L}\p{N}_])").cast("int"), F.lit(0))
     ok = found >= least
     return F.coalesce(ok | c.rlike(protest) if protest else ok, F.lit(False))
 

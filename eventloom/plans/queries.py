@@ -235,9 +235,9 @@ def week_spine(spark, sf_dir):
     return A.all_weeks(weeks, "week", "2023-12-25", "2024-02-12").withColumn("week", F.col("week").cast("string"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(lower(text), '\\bthe\\b')) AS n FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '(?:^|[^\\p{L}\\p{N}])the(?:[^\\p{L}\\p{N}]|$)')) AS n FROM documents")
 def mention_counts(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit(r"\bthe\b")).cast("long").alias("n"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit(r"(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)")).cast("long").alias("n"))
 
 
 # --------------------------------------------------------------------- joins
@@ -488,9 +488,9 @@ _docs("ascii_safe", lambda c: text.ascii_only(F.left(c, F.lit(60))), r"regexp_re
 _docs("match_text", lambda c: text.match_text(F.left(c, F.lit(120))), "trim(regexp_replace(lower(left(text, 120)), '[^a-z0-9]+', ' ', 'g'))")
 _docs("strip_related", lambda c: F.length(text.squeeze(structured.before_related(c))).cast("long"), r"length(trim(regexp_replace(regexp_replace(text, '(?is)\b(?:more from|read more|recommended for you|related articles|related stories|trending now)\b.*$', ''), '\s+', ' ', 'g')))")
 _docs("byte_snippet", lambda c: F.octet_length(text.byte_snippet(c, 64)) <= 64, "true")
-_docs("keyword_relevance", lambda c: C.relevant(c, ["the", "und", "que"], ["The"], 2, None), r"(CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'und') AS INT) + CAST(contains(lower(text), 'que') AS INT) + CAST(regexp_matches(text, '\bThe\b') AS INT)) >= 2")
-_docs("event_types", lambda c: F.array_join(text.labels(c, [("en", r"(?i)\bthe\b"), ("de", r"(?i)\bund\b"), ("es", r"(?i)\blos\b")]), ","), r"concat_ws(',', CASE WHEN regexp_matches(text, '(?i)\bthe\b') THEN 'en' END, CASE WHEN regexp_matches(text, '(?i)\bund\b') THEN 'de' END, CASE WHEN regexp_matches(text, '(?i)\blos\b') THEN 'es' END)")
-_docs("ladder_class", lambda c: text.ladder(c, [("de", r"(?i)\bund\b"), ("en", r"(?i)\bthe\b")], "other"), r"CASE WHEN regexp_matches(text, '(?i)\bund\b') THEN 'de' WHEN regexp_matches(text, '(?i)\bthe\b') THEN 'en' ELSE 'other' END")
+_docs("keyword_relevance", lambda c: C.relevant(c, ["the", "und", "que"], ["The"], 2, None), r"(CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'und') AS INT) + CAST(contains(lower(text), 'que') AS INT) + CAST(regexp_matches(text, '(?:^|[^\p{L}\p{N}])The(?:[^\p{L}\p{N}]|$)') AS INT)) >= 2")
+_docs("event_types", lambda c: F.array_join(text.labels(c, [("en", r"(?i)(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)"), ("de", r"(?i)(?:^|[^\p{L}\p{N}])und(?:[^\p{L}\p{N}]|$)"), ("es", r"(?i)(?:^|[^\p{L}\p{N}])los(?:[^\p{L}\p{N}]|$)")]), ","), r"concat_ws(',', CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)') THEN 'en' END, CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}])und(?:[^\p{L}\p{N}]|$)') THEN 'de' END, CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}])los(?:[^\p{L}\p{N}]|$)') THEN 'es' END)")
+_docs("ladder_class", lambda c: text.ladder(c, [("de", r"(?i)(?:^|[^\p{L}\p{N}])und(?:[^\p{L}\p{N}]|$)"), ("en", r"(?i)(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)")], "other"), r"CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}])und(?:[^\p{L}\p{N}]|$)') THEN 'de' WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)') THEN 'en' ELSE 'other' END")
 _docs("additive_score", lambda c: C.score(c, ["the", "of"], ["und"]).cast("long"), "CAST(contains(lower(text), 'the') AS BIGINT) * 3 + CAST(contains(lower(text), 'of') AS BIGINT) * 3 - CAST(contains(lower(text), 'und') AS BIGINT) * 2")
 
 
