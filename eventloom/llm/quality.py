@@ -95,7 +95,7 @@ def rules(m: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray, np.ndarray]]:
     n, chars = m["n"], m["c"]
     enough = n >= 20
     return [
-        ("length", n >= 30, n < 4),
+        ("length", n >= 30, n < 1),
         ("symbols", (n > 0) & (m["sym"] < 0.01 * chars), (n > 0) & (m["sym"] > 0.05 * chars)),
         ("bangs", enough & (m["runs"] < 0.01 * n), (n >= 5) & (m["runs"] > 0.2 * n)),
         ("capitals", enough & (m["up"] < 0.15 * chars), (n >= 5) & (m["up"] > 0.4 * chars)),
