@@ -44,7 +44,7 @@ def char_classes() -> np.ndarray:
 class HashTable:
     """Static map of uint64 keys to int32 values: levels of 2**bits slots, each key at the first level where it is alone."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 20):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 17):
         self.bits, self.levels = bits, []
         while len(keys):
             at = self._at(keys, len(self.levels))
