@@ -163,10 +163,11 @@ def mentions(title: Column, body: Column, patterns: dict[str, str]) -> dict[str,
 
 
 STATES = (
-    "Alabama Alaska Arizona Arkansas California Colorado Connecticut Delaware Florida Georgia Hawaii Idaho Illinois Indiana Iowa Kansas Kentucky "
-    "Louisiana Maine Maryland Massachusetts Michigan Minnesota Mississippi Missouri Montana Nebraska Nevada New_Hampshire New_Jersey New_Mexico "
-    "New_York North_Carolina North_Dakota Ohio Oklahoma Oregon Pennsylvania Rhode_Island South_Carolina South_Dakota Tennessee Texas Utah Vermont "
-    "Virginia Washington West_Virginia Wisconsin Wyoming"
+    "Iowa Utah Ohio Maine Idaho Texas Nevada Alaska Hawaii Oregon Kansas Florida Georgia Alabama Indiana Montana Arizona "
+    "Wyoming Vermont Virginia Nebraska Oklahoma Maryland Delaware Missouri New_York Michigan Colorado Arkansas Illinois "
+    "Kentucky Louisiana Minnesota Tennessee Wisconsin California Washington New_Mexico New_Jersey Mississippi Connecticut "
+    "Pennsylvania North_Dakota South_Dakota Rhode_Island West_Virginia New_Hampshire Massachusetts North_Carolina "
+    "South_Carolina"
 ).replace(" ", "|").replace("_", " ").split("|")
 
 
