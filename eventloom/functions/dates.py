@@ -56,8 +56,8 @@ def partial(c: Column) -> Column:
     t = F.trim(c)
     return (
         F.when(t.rlike(r"^\d{4}$"), F.try_to_timestamp(F.concat(t, F.lit("-01-01")), F.lit("yyyy-MM-dd")))
-        .when(t.rlike(r"^\d{4}-\d{2}$"), F.try_to_timestamp(F.concat(t, F.lit("-01")), F.lit("yyyy-MM-dd")))
-        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd")))
+        .when(t.rlike(r"^\d{4}-\d\d$"), F.try_to_timestamp(F.concat(t, F.lit("-01")), F.lit("yyyy-MM-dd")))
+        .when(t.rlike(r"^\d{4}(?:-\d\d){2}$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd")))
         .otherwise(F.try_to_timestamp(t))
         .cast("date")
     )
@@ -65,7 +65,7 @@ def partial(c: Column) -> Column:
 
 def precision(c: Column) -> Column:
     t = F.trim(c)
-    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), "day").when(t.rlike(r"^\d{4}-\d{2}$"), "month").when(t.rlike(r"^\d{4}$"), "year").otherwise("unknown")
+    return F.when(t.rlike(r"^\d{4}(?:-\d\d){2}"), "day").when(t.rlike(r"^\d{4}-\d\d$"), "month").when(t.rlike(r"^\d{4}$"), "year").otherwise("unknown")
 
 
 def year_of(c: Column) -> Column:

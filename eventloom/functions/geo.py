@@ -10,7 +10,10 @@ US_CENTRE, CAPITAL = (39.8283, -98.5795), (38.9072, -77.0369)
 VAGUE = ("united states", "usa", "nationwide", "unknown")
 
 
-def parse_bbox(text: str) -> tuple[float, float, float, float]:
+Box = tuple[float, float, float, float]
+
+
+def parse_bbox(text: str) -> Box:
     """west,south,east,north; raises ValueError unless west < east and south < north."""
     parts = [float(x) for x in text.split(",")]
     if len(parts) != 4 or parts[0] >= parts[2] or parts[1] >= parts[3]:
@@ -18,7 +21,7 @@ def parse_bbox(text: str) -> tuple[float, float, float, float]:
     return tuple(parts)
 
 
-def in_bbox(lat: Column, lon: Column, box: tuple[float, float, float, float] = US) -> Column:
+def in_bbox(lat: Column, lon: Column, box: Box = US) -> Column:
     west, south, east, north = box
     return lat.between(south, north) & lon.between(west, east)
 

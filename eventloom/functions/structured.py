@@ -27,7 +27,7 @@ def json_strings(c: Column, keys: tuple[str, ...] = ("articleBody", "body", "tex
 
 
 def json_ld(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"), F.lit(1))
 
 
 def map_total(c: Column) -> Column:

@@ -47,7 +47,7 @@ def trim_words(c: Column, n: int) -> Column:
 
 def sentences(c: Column) -> Column:
     """Array of sentences: a break is white space after a full stop, question or exclamation mark."""
-    return F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.length(F.trim(s)) > 0)
+    return F.filter(F.split(c, r"(?<=[?!.])\s+"), lambda s: F.length(F.trim(s)) > 0)
 
 
 def first_sentences(c: Column, n: int) -> Column:
@@ -56,7 +56,7 @@ def first_sentences(c: Column, n: int) -> Column:
 
 def sentence_with(c: Column, needle: Column) -> Column:
     """First sentence or line that holds the needle, without case."""
-    parts = F.split(c, r"(?<=[.!?])\s+|\n+")
+    parts = F.split(c, r"(?<=[?!.])\s+|\n+")
     return F.try_element_at(F.filter(parts, lambda s: F.contains(F.lower(s), F.lower(needle))), F.lit(1))
 
 

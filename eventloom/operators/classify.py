@@ -95,7 +95,7 @@ def in_event_filter(types: Column, which: str, protest_has_unrest: bool = True)
     return F.lit(True) if names is None else F.coalesce(F.arrays_overlap(types, F.array(*[F.lit(x) for x in names])), F.lit(False))
 
 
-# ----------------------------------------------------- reports of incidents
+# reports of incidents
 
 MANNER = [
     ("shooting", r"(?i)\b(?:shot|shooting|gunfire|gunshot)\b"),

@@ -88,7 +88,7 @@ def release_fields(df: DataFrame, col: str) -> DataFrame:
         {
             "person_name": F.coalesce(from_name, from_sentence),
             "date_of_death": F.coalesce(dated, dates.infer_year(after, F.col("release_date")), dates.textual(s)),
-            "age": F.regexp_extract(all_, r"(\d{1,3})-year-old", 1).try_cast("int"),
+            "age": F.regexp_extract(all_, r"([0-9]{1,3})-year-old", 1).try_cast("int"),
             "nationality": F.nullif(F.regexp_extract(all_, r"-year-old[\w\s]*? (?:from|of) ([A-Z][a-z]+(?: [A-Z][a-z]+)?)", 1), F.lit("")),
             "city": F.when(city_upper != "", F.initcap(F.lower(city_upper))),
             "state": F.nullif(state_upper, F.lit("")),

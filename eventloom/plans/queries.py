@@ -46,7 +46,7 @@ def show(c: str | Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-# ------------------------------------------------------------ filters, limits
+# filters, limits
 
 
 def _slice(days: int | None) -> None:
@@ -129,7 +129,7 @@ def bounds_check(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", geo.in_bbox(F.col("c_acctbal"), F.col("c_nationkey"), (-179, 18, 20, 72)).alias("inside"))
 
 
-# ---------------------------------------------------------------- aggregates
+# aggregates
 
 
 @query("SELECT CAST(floor(value * 10) AS BIGINT) AS cell, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1 ORDER BY n DESC, cell LIMIT 50")
@@ -240,7 +240,7 @@ def mention_counts(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit(r"(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)")).cast("long").alias("n"))
 
 
-# --------------------------------------------------------------------- joins
+# joins
 
 
 @query(
@@ -342,7 +342,7 @@ def ranked_identity_match(spark, sf_dir):
     return J.ranked(c, s, rules, "c_custkey", "s_suppkey")
 
 
-# ------------------------------------------------------------------- windows
+# windows
 
 
 @query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
@@ -379,7 +379,7 @@ def first_seen(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", (F.col("event_id") == F.min("event_id").over(Window.partitionBy("props"))).alias("first_seen"))
 
 
-# ----------------------------------------------------------------------- DML
+# DML
 
 
 def _halves(spark, sf_dir):
@@ -439,7 +439,7 @@ def bump_sightings(spark, sf_dir):
     return M.bump(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey", "first_seen", "last_seen")
 
 
-# ---------------------------------------------------------------------- sets
+# sets
 
 
 @query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")
@@ -467,7 +467,7 @@ def subset_flag(spark, sf_dir):
     return e.select("user_id", M.has_all(F.col("types"), ["click", "purchase"]).alias("both"))
 
 
-# ------------------------------------------------------------------- scalars
+# scalars
 
 
 def _docs(name: str, expr: Callable[[Column], Column], sql: str) -> None:
@@ -570,7 +570,7 @@ def json_tolerant_list(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.array_join(structured.string_list(F.col("props")), ",").alias("x"))
 
 
-# ------------------------------------------------- no SQL: rows and unit tests
+# no SQL: rows and unit tests
 
 
 @query()
