@@ -178,7 +178,7 @@ def states(c: Column, names: Sequence[str] = STATES) -> Column:
 
 def facilities(c: Column) -> Column:
     """Facility nouns with the proper name before them."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"((?:[A-Z][A-Za-z.'-]+ ){0,5}(?:[Dd]etention|[Pp]rocessing|[Cc]orrectional|[Rr]esidential) (?:[Cc]enter|[Ff]acility)|(?:[A-Z][A-Za-z.'-]+ ){1,4}(?:County )?Jail)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"((?:[A-Z][a-zA-Z'.-]+ ){0,5}(?:[Dd]etention|[Pp]rocessing|[Cc]orrectional|[Rr]esidential) (?:[Cc]enter|[Ff]acility)|(?:[A-Z][a-zA-Z'.-]+ ){1,4}(?:County )?Jail)"), F.lit(1)))
 
 
 def city_states(c: Column) -> Column:

@@ -95,13 +95,13 @@ def test_report(spark):
     [
         (
             "JANUARY 18, 2026EL PASO, TX\nDETAINEE DEATH\nTexas — Hector Samuel Rios, a 36-year-old man from Nicaragua, died Jan. 16, 2026 at a clinic.",
-            {"city": "El Paso", "state": "TX", "person_name": "Hector Samuel Rios", "date_of_death": "2026-01-16", "release_date": "2026-01-18", "age": 36, "nationality": "Nicaragua"},
+            dict(city="El Paso", state="TX", person_name="Hector Samuel Rios", date_of_death="2026-01-16", release_date="2026-01-18", age=36, nationality="Nicaragua"),
         ),
         ("JANUARY 18, 2026 EL PASO, TX Hector Samuel Rios, a 36-year-old man from Nicaragua, died in custody Jan. 14 at Camp East Montana in El Paso, Texas.", {"date_of_death": "2026-01-14"}),
-        ("JANUARY 9, 2026 INDIO, CA — Oscar Daniel Leon-Cruz, a 68-year-old man from Honduras, passed away Jan 6 at a hospital.", {"person_name": "Oscar Daniel Leon-Cruz", "date_of_death": "2026-01-06"}),
+        ("JANUARY 9, 2026 INDIO, CA — Oscar Daniel Leon-Cruz, a 68-year-old man from Honduras, passed away Jan 6 at a hospital.", dict(person_name="Oscar Daniel Leon-Cruz", date_of_death="2026-01-06")),
         (
             "JANUARY 9, 2026 HOUSTON, TX — Pedro Ivan Salas Montes, a 42-year-old man from Honduras, passed away Jan 5 at a hospital. The cause of death remains under investigation.",
-            {"person_name": "Pedro Ivan Salas Montes", "date_of_death": "2026-01-05", "under_investigation": True},
+            dict(person_name="Pedro Ivan Salas Montes", date_of_death="2026-01-05", under_investigation=True),
         ),
     ],
 )
@@ -111,29 +111,29 @@ def test_release(spark, value, want):
 
 
 def test_incident_id(spark):
-    r = record(spark, {"person_name": "Jane Doe", "date_of_death": "2025-01-02", "facility_or_location": "Austin, Texas", "death_context": "street", "sources": [("https://www.reuters.com/x", None)]}).first()
+    r = record(spark, dict(person_name="Jane Doe", date_of_death="2025-01-02", facility_or_location="Austin, Texas", death_context="street", sources=[("https://www.reuters.com/x", None)])).first()
     assert r["id"] == str(uuid.uuid5(uuid.UUID(ids.INCIDENTS), "jane doe|2025-01-02|austin, texas"))
 
 
-MINN = {"facility_or_location": "Duluth, Minnesota", "death_context": "street"}
-RELEASE = [("https://www.ice.gov/news/releases/sample", "official_release")]
+MINN = dict(facility_or_location="Duluth, Minnesota", death_context="street")
+RELEASE = [("https://www.ice.gov/r/1", "official_release")]
 #: name of the case: existing record, incoming record
 MERGES = {
     "record-1": (
-        {"id": "record-1", "person_name": "Jane Doe", "date_of_death": "2025-01-02", "death_context": "detention", "agency": "ICE", "summary_1_sentence": "Initial.", "sources": [("https://apnews.com/a", None)]},
-        {"id": "record-1", "person_name": "Jane Doe", "date_of_death": "2025-01-02", "death_context": "street", "agency": "unknown", "summary_1_sentence": "Updated.", "sources": [("https://www.pbs.org/b", None)]},
+        dict(id="record-1", person_name="Jane Doe", date_of_death="2025-01-02", death_context="detention", agency="ICE", summary_1_sentence="Initial.", sources=[("https://apnews.com/a", None)]),
+        dict(id="record-1", person_name="Jane Doe", date_of_death="2025-01-02", death_context="street", agency="unknown", summary_1_sentence="Updated.", sources=[("https://www.pbs.org/b", None)]),
     ),
     "same-day": (
-        {"id": "same-day", "person_name": "Lena Stone", "date_of_death": "2026-01-11", **MINN, "sources": [("https://www.reuters.com/a", None)]},
-        {"id": "in-1", "person_name": "Lena Marie Stone", "date_of_death": "2026-01-11", **MINN, "summary_1_sentence": "Updated.", "sources": [("https://apnews.com/b", None)]},
+        dict(id="same-day", person_name="Lena Stone", date_of_death="2026-01-11", **MINN, sources=[("https://www.reuters.com/a", None)]),
+        dict(id="in-1", person_name="Lena Marie Stone", date_of_death="2026-01-11", **MINN, summary_1_sentence="Updated.", sources=[("https://apnews.com/b", None)]),
     ),
     "near-day": (
-        {"id": "near-day", "person_name": "Anna Maria Roe", "date_of_death": "2026-01-16", **MINN, "sources": [("https://www.nbcnews.com/a", None)]},
-        {"id": "in-2", "person_name": "Anna Roe", "date_of_death": "2026-01-19", **MINN, "summary_1_sentence": "Updated.", "sources": [("https://www.nbcnews.com/b", None)]},
+        dict(id="near-day", person_name="Anna Maria Roe", date_of_death="2026-01-16", **MINN, sources=[("https://www.nbcnews.com/a", None)]),
+        dict(id="in-2", person_name="Anna Roe", date_of_death="2026-01-19", **MINN, summary_1_sentence="Updated.", sources=[("https://www.nbcnews.com/b", None)]),
     ),
     "by-url": (
-        {"id": "by-url", "person_name": "Pedro Ivan Salas Montes", "date_of_death": "2026-01-05", "death_context": "detention", "sources": RELEASE},
-        {"id": "in-3", "person_name": "Pedro Ivan Salas-Montes", "date_of_death": "2025-12-23", "death_context": "detention", "summary_1_sentence": "Updated.", "sources": RELEASE},
+        dict(id="by-url", person_name="Pedro Ivan Salas Montes", date_of_death="2026-01-05", death_context="detention", sources=RELEASE),
+        dict(id="in-3", person_name="Pedro Ivan Salas-Montes", date_of_death="2025-12-23", death_context="detention", summary_1_sentence="Updated.", sources=RELEASE),
     ),
 }
 
@@ -163,9 +163,9 @@ def test_index(spark):
     src = {"sources": [("https://www.reuters.com/x", None)]}
     df = record(
         spark,
-        {"id": "a", "person_name": "A", "date_of_death": "2025-01-02", "death_context": "detention", "homicide_status": "suspected", **src},
-        {"id": "b", "person_name": "B", "date_of_death": "2026-03", "death_context": "street", "homicide_status": "unknown", **src},
-        {"id": "c", "person_name": "C", "date_of_death": "2026", "death_context": "street", "homicide_status": "ruled_homicide", **src},
+        dict(id="a", person_name="A", date_of_death="2025-01-02", death_context="detention", homicide_status="suspected", **src),
+        dict(id="b", person_name="B", date_of_death="2026-03", death_context="street", homicide_status="unknown", **src),
+        dict(id="c", person_name="C", date_of_death="2026", death_context="street", homicide_status="ruled_homicide", **src),
     )
     got = {(r["facet"], r["value"]): r["n"] for r in incidents.index(df).collect()}
     assert got["year", "2025"] == 1 and got["year", "2026"] == 2
@@ -176,14 +176,14 @@ def test_index(spark):
 
 
 def test_rules_of_one_record(spark):
-    street = {"person_name": "Jane Doe", "date_of_death": "2026-01-10", "death_context": "street", "confidence_score": 80}
+    street = dict(person_name="Jane Doe", date_of_death="2026-01-10", death_context="street", confidence_score=80)
     out = record(
         spark,
         street | {"id": "few", "sources": [(f"https://{h}/x", "news") for h in ("www.reuters.com", "www.nbcnews.com")]},
         street | {"id": "both", "sources": [(f"https://{h}/x", "news") for h in ("apnews.com", "www.nbcnews.com")]},
-        {"id": "jail", "person_name": "Sample Name", "date_of_death": "2025-05-12", "facility_or_location": "St. Louis County Jail", "death_context": "detention", "city": "United States Notifications. Passes away at a hospital after being admitted in Houston", "state": "Texas", "sources": RELEASE},
-        {"id": "office", "person_name": "Inspector General", "date_of_death": "2026-01-29", "death_context": "detention", "sources": RELEASE},
-        {"id": "family", "person_name": "family representative", "date_of_death": "2026-01-29", "death_context": "street", "sources": [("https://apnews.com/x", "news")]},
+        dict(id="jail", person_name="Sample Name", date_of_death="2025-05-12", facility_or_location="St. Louis County Jail", death_context="detention", city="United States Notifications. Passes away at a hospital after being admitted in Houston", state="Texas", sources=RELEASE),
+        dict(id="office", person_name="Inspector General", date_of_death="2026-01-29", death_context="detention", sources=RELEASE),
+        dict(id="family", person_name="family representative", date_of_death="2026-01-29", death_context="street", sources=[("https://apnews.com/x", "news")]),
     ).cache()
     r = {x["id"]: x for x in out.collect()}
     assert (r["few"]["manual_review"], r["few"]["confidence_score"]) == (True, 45)
@@ -193,14 +193,14 @@ def test_rules_of_one_record(spark):
 
 
 def test_collapse(spark):
-    chain = {"person_name": "Ann Mary Doe", "death_context": "street", **MINN}
+    chain = dict(person_name="Ann Mary Doe", **MINN)
     rows = [
-        {"id": "a1", "person_name": "Rafael Gomez Ortiz", "date_of_death": "2025-10-23", "death_context": "detention", "facility_or_location": "Victor Valley Medical Center", "sources": [("https://www.ice.gov/a.pdf", "official_report")]},
-        {"id": "a2", "person_name": "Rafael Gomez-Ortiz", "date_of_death": "2025-10-23", "death_context": "detention", "sources": [("https://www.ice.gov/b", "official_release")]},
-        {"id": "b1", "person_name": "Lena Marie Stone", "date_of_death": "2026-01-16", **MINN, "sources": [("https://www.nbcnews.com/a", "news")]},
-        {"id": "b2", "person_name": "Lena Marie Stone", "date_of_death": "2026-01-19", **MINN, "sources": [("https://www.nbcnews.com/b", "news")]},
+        dict(id="a1", person_name="Rafael Gomez Ortiz", date_of_death="2025-10-23", death_context="detention", facility_or_location="Victor Valley Medical Center", sources=[("https://www.ice.gov/a.pdf", "official_report")]),
+        dict(id="a2", person_name="Rafael Gomez-Ortiz", date_of_death="2025-10-23", death_context="detention", sources=[("https://www.ice.gov/b", "official_release")]),
+        dict(id="b1", person_name="Lena Marie Stone", date_of_death="2026-01-16", **MINN, sources=[("https://www.nbcnews.com/a", "news")]),
+        dict(id="b2", person_name="Lena Marie Stone", date_of_death="2026-01-19", **MINN, sources=[("https://www.nbcnews.com/b", "news")]),
         # only pairs with the first of a cluster count: c3 is near c2 but not near c1
-        *[chain | {"id": f"c{i}", "date_of_death": d, "sources": [(f"https://apnews.com/{i}", None)]} for i, d in ((1, "2025-01-01"), (2, "2025-01-12"), (3, "2025-01-24"))],
+        *[dict(chain, id=f"c{i}", date_of_death=d, sources=[(f"https://apnews.com/{i}", None)]) for i, d in ((1, "2025-01-01"), (2, "2025-01-12"), (3, "2025-01-24"))],
     ]
     df = record(spark, *rows).cache()
     out = {r["id"]: r for r in incidents.collapse(df).collect()}
@@ -223,7 +223,7 @@ def test_reports_to_records(spark):
 def test_fill_only(spark):
     schema = "id string, facility string, urls array<string>"
     old, new = spark.createDataFrame([("x", None, ["a"])], schema), spark.createDataFrame([("x", "F", ["b"])], schema)
-    assert M.fill_only(old, new, "id", unions=["urls"]).first().asDict() == {"id": "x", "facility": "F", "urls": ["a", "b"]}
+    assert M.fill_only(old, new, "id", unions=["urls"]).first().asDict() == dict(id="x", facility="F", urls=["a", "b"])
 
 
 @pytest.mark.parametrize(
