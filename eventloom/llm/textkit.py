@@ -28,7 +28,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _pow = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-# ---------------------------------------------------------------- Spark side
+# Spark side
 
 
 def tune(spark: SparkSession) -> None:
@@ -98,7 +98,7 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
 
 
-# ---------------------------------------------------------------- Arrow side
+# Arrow side
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
