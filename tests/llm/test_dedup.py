@@ -137,6 +137,19 @@ def test_passages(spark, prose):
         assert len(set(a) & set(b)) >= 0.6 * len(set(a))
 
 
+def test_passages_of_stock_sentences(spark):
+    rng = random.Random(11)
+    unique = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    stock = [unique(27) for _ in range(12)]
+    chosen = [tuple(rng.sample(range(12), 2)) for _ in range(150)]
+    docs = spark.createDataFrame([(i, " ".join([unique(40), stock[a], stock[b], unique(40)])) for i, (a, b) in enumerate(chosen)], "doc_id long, text string")
+    linked = set()
+    for r in substring.near_passages(docs).collect():
+        if chosen[r["doc_id"]] == chosen[r["other_id"]]:
+            linked |= {r["doc_id"], r["other_id"]}
+    assert linked == {i for i, pair in enumerate(chosen) if chosen.count(pair) > 1}
+
+
 def test_passages_odd(spark, odd_docs):
     got = {(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in substring.near_passages(odd_docs).collect()}
     assert got == {(6, 5, 0, 30_000)}
