@@ -150,6 +150,21 @@ def test_passages_of_stock_sentences(spark):
     assert linked == {i for i, pair in enumerate(chosen) if chosen.count(pair) > 1}
 
 
+def found(partner, text):
+    words = {w: i + 1 for i, w in enumerate(sorted({*partner.split(), *text.split()}))}
+    grams = lambda t: np.array([hash(tuple(words[w] for w in t.split()[i : i + 5])) & (1 << 63) - 1 for i in range(len(t.split()) - 4)], np.uint64)
+    return substring.passages(grams(partner), grams(text), 5, 50, 12, 0.6)
+
+
+@pytest.mark.parametrize("around, every", [(200, 8), (400, 10), (100, 8)])
+def test_exact_passage_in_edited_text(around, every):
+    text = [f"w{i}" for i in range(2 * around + 60)]
+    other = [w if around <= i < around + 60 or i % every else f"x{i}" for i, w in enumerate(text)]
+    rows = found(" ".join(text), " ".join(other))
+    assert any(lo <= around and around + 60 <= hi and alo <= around and around + 60 <= ahi for lo, hi, alo, ahi, _ in rows)
+    assert all(share >= 0.6 for *_, share in rows)
+
+
 def test_passages_odd(spark, odd_docs):
     got = {(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in substring.near_passages(odd_docs).collect()}
     assert got == {(6, 5, 0, 30_000)}
