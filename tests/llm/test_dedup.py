@@ -165,6 +165,18 @@ def test_exact_passage_in_edited_text(around, every):
     assert all(share >= 0.6 for *_, share in rows)
 
 
+@pytest.mark.parametrize("edited_at", [None, 30])
+@pytest.mark.parametrize("before", [True, False])
+def test_passage_quoted_elsewhere(before, edited_at):
+    p = [f"w{i}" for i in range(60)]
+    gap = [f"y{i}" for i in range(40)]
+    quote = p[:30] if before else p[30:]
+    partner = [*quote, *gap, *p] if before else [*p, *gap, *quote]
+    text = [f"new{i}" if i == edited_at else w for i, w in enumerate(p)]
+    at = 70 if before else 0
+    assert (0, 60, at, at + 60) in {x[:4] for x in found(" ".join(partner), " ".join(text))}
+
+
 def test_passages_odd(spark, odd_docs):
     got = {(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in substring.near_passages(odd_docs).collect()}
     assert got == {(6, 5, 0, 30_000)}
