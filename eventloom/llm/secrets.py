@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 
-NAMES = ("token", "secret", "passw", "passphrase", "pwd", "api_key", "api-key", "apikey", "access_key", "access-key", "private_key", "auth", "credential", "bearer")
+PARTED = [f"{kind}{by}key" for kind in ("api", "access", "private") for by in ("", "_", "-")]
+NAMES = ("token", "secret", "passw", "passphrase", "pwd", *PARTED, "auth", "credential", "bearer")
 CANDIDATE = re.compile(
     r"""(?i)(?P<name>[a-z0-9_.-]{0,30}(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)[a-z0-9_.-]{0,30})
     ["']?\ {0,4}(?:=>|:=|=|:|\ (?=["'a-z0-9+/]))\ {0,4}["']?

@@ -157,6 +157,13 @@ def test_secret_rule(text, n):
     assert len(secrets.found(secrets.compressor(""), text)) == n
 
 
+@pytest.mark.parametrize("name", ["token", "secret", "passwd", "password", "passphrase", "pwd", "auth", "credential", "bearer", *(f"{k}{by}{key}" for k in ("api", "access", "private") for by in ("", "_", "-") for key in ("key", "Key", "KeyId"))])
+def test_names_pass_the_prefilter(name):
+    text = f'{name} = "{HEX}"'
+    assert len(secrets.found(secrets.compressor(""), text)) == 1
+    assert list(secrets.sensitive_rows(pa.array(["none", text]))) == [1]
+
+
 def test_secret_scan(spark, odd_docs, no_docs):
     extra = odd_docs.limit(2).selectExpr("CAST(50 + doc_id AS long) AS doc_id", f"'é token = \"{HEX}\" z' AS text", "lang", "source", "n_chars", "digest", "h", "bucket", "id", "rep", "n")
     docs = odd_docs.unionByName(extra)
