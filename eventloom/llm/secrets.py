@@ -1,11 +1,12 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
-A candidate is a string of at least 16 token characters that a sensitive name is assigned to
-(token = "...", api_key: ..., and so on).  Its novelty is what it adds, in bytes for
+A candidate is a string of at least 16 characters without blanks, quotes, brackets, commas or semicolons, that stands
+within WINDOW characters of a sensitive name (token = "...", <password>...</password>, API key: ..., and so on),
+or the body of a private key block.  Its novelty is what it adds, in bytes for
 each of its own, to the compressed size of the text around it, with a compressor primed by
 identifiers: common code words, and the words that stand around sensitive names in
-the corpus (all documents count; the most frequent fill 32 KB).  Words, placeholders and
-repeats compress away; random strings don't, and are reported.
+the corpus (all documents count; the most frequent fill 32 KB).  Words of the dictionary,
+placeholders and repeats compress away; random strings of any kind of characters don't, and are reported.
 
 Defined cases: null and blank texts hold no secret; very long texts are searched whole; repeated
 rows are each reported.  Offsets count characters.
@@ -13,6 +14,7 @@ rows are each reported.  Offsets count characters.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,21 +29,25 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 
-PARTED = [f"{kind}{by}key" for kind in ("api", "access", "private") for by in ("", "_", "-")]
+PARTED = [f"{kind}{by}key" for kind in ("api", "access", "private") for by in ("", "_", "-", " ")]
 NAMES = ("token", "secret", "passw", "passphrase", "pwd", *PARTED, "auth", "credential", "bearer")
-CANDIDATE = re.compile(
-    r"""(?i)(?P<name>[a-z0-9_.-]{0,30}(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)[a-z0-9_.-]{0,30})
-    ["']?\ {0,4}(?:=>|:=|=|:|\ (?=["'a-z0-9+/]))\ {0,4}["']?
-    (?P<value>[A-Za-z0-9+/=_.~-]{16,})""",
-    re.X,
-)
+NAME = re.compile(r"(?i)token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|private)[ _-]?key|auth|credential|bearer")
+STRING = re.compile(r"""[^\s"'`<>(){}\[\],;]{16,}""")
+#: author and authentic, which name a secret only where one is assigned to them
+WEAK = re.compile(r"(?i)auth(?:or(?!i[sz])|enti[cf](?!at))")
+DIRECT = re.compile(r"""[\w.-]{0,30}["']?\s{0,4}(?:=>|:=|=|:|\s)\s{0,4}["']?""")
+PARTS, URL_PARTS = re.compile(r"[?&](?=[\w.-]+=)"), re.compile(r"[?&/#:@]+")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----\s*(?P<value>[^-]{16,})")
+ASSIGNED = re.compile(r"(?P<name>[\w.$-]{0,80}?)(?P<by>=>|:=|=(?!=*$)|:(?!//))")
+TARGET = re.compile(r"""["'\])}]{0,3}\s{0,20}(?:=|:)""")
 BUILT_IN = (
     "function return import export const public static private class def self this null true false none undefined string number boolean "
     "config settings environment process getenv os.environ example placeholder changeme your_token_here your_api_key_here insert_token_here "
     "username password secret token access_token refresh_token client_secret client_id api_key authorization bearer header request response "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 00000000000000000000 xxxxxxxxxxxxxxxxxxxxxxxx ************************"
 )
-CONTEXT, DICTIONARY_BYTES, NOVELTY = 256, 32_768, 0.6
+CONTEXT, WINDOW, SHORTEST, DICTIONARY_BYTES, NOVELTY = 256, 96, 16, 32_768, 0.6
+PART = re.compile(r"[\w.-]+")
 WORD = re.compile(r"[A-Za-z_][A-Za-z_.-]{2,39}")
 
 
@@ -62,8 +68,68 @@ def sensitive_rows(column: pa.Array) -> np.ndarray:
     return np.array(sorted(rows), np.int64)
 
 
-def candidates(text: str) -> Iterator[re.Match]:
-    return CANDIDATE.finditer(text)
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of the strings that begin within WINDOW characters after a sensitive name, or end within as many before one.
+
+    A name that is assigned to in the string itself is cut off; a string that is itself a name to assign to is none.
+    The body of a private key block is one string, however long.
+    """
+    names = [(m.start(), m.end()) for m in NAME.finditer(text)]
+    if not names:
+        return []
+    strong = [x for x in names if not WEAK.match(text, x[0])]
+    out = [(m.start("value"), m.start("value") + len(m["value"].rstrip()), "private key") for m in PEM.finditer(text)]
+    blocks = list(out)
+    for start, end in _strings(text):
+        if any(x < end and start < y for x, y, _ in blocks):
+            continue
+        own = None
+        while cut := ASSIGNED.match(text, start, end):
+            sensitive = NAME.search(cut["name"])
+            if cut["by"] == ":" and not sensitive:
+                break
+            own = cut["name"] if sensitive else own
+            start = cut.end()
+        end = start + len(text[start:end].rstrip(".!?:"))
+        if end - start < SHORTEST:
+            continue
+        if NAME.search(text, start, end) and (TARGET.match(text, end) or text[start:end].startswith("-----")):
+            continue
+        if own is None:
+            b = bisect.bisect_right(names, (start, start)) - 1
+            direct = b >= 0 and DIRECT.fullmatch(text, names[b][1], start)
+            near = [names[b]] if direct else []
+            if not near:
+                b = bisect.bisect_right(strong, (start, start)) - 1
+                near += [x for x in strong[max(b, 0) : b + 1] if start - x[1] <= WINDOW]
+                a = bisect.bisect_left(strong, (end, 0))
+                near += [x for x in strong[a : a + 1] if x[0] - end <= WINDOW]
+            if not near:
+                continue
+            own = _whole(text, *near[0])
+        out.append((start, end, own))
+    return sorted(out)
+
+
+def _strings(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the strings: URLs and queries in their parts; outside of quotes and tags a string ends at #."""
+    for m in STRING.finditer(text):
+        run, at = m.group(), m.start()
+        if "://" not in run and text[max(0, at - 1) : at] not in ("\"", "'", "`", ">"):
+            run = run.split("#", 1)[0]
+        last = 0
+        for cut in (URL_PARTS if "://" in run else PARTS).finditer(run):
+            if cut.start() - last >= SHORTEST:
+                yield at + last, at + cut.start()
+            last = cut.end()
+        if len(run) - last >= SHORTEST:
+            yield at + last, at + len(run)
+
+
+def _whole(text: str, start: int, end: int) -> str:
+    """The identifier around a sensitive name, at most 30 characters on each side of it."""
+    left, right = PART.findall(text[max(0, start - 30) : start]), PART.match(text, end, end + 30)
+    return (left[-1] if left and text[:start].endswith(left[-1]) else "") + text[start:end] + (right[0] if right else "")
 
 
 def compressor(identifiers: str) -> zstandard.ZstdCompressor:
@@ -78,25 +144,26 @@ def novelty(z: zstandard.ZstdCompressor, around: str, value: str) -> int:
     return len(z.compress(context + value.encode())) - len(z.compress(context))
 
 
+def blanked(text: str, strings: list[tuple[int, int, str]]) -> str:
+    parts, last = [], 0
+    for start, end, _ in strings:
+        parts += [text[last:start], " " * (end - start)]
+        last = end
+    return "".join(parts) + text[last:]
+
+
 def found(z: zstandard.ZstdCompressor, text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, name, marginal bytes) of the secrets of a text.
 
     Candidates' values are blanked in the text around, else a secret that stands there twice would explain itself.
     """
-    matches, out = list(candidates(text)), []
-    blank, last = [], 0
-    for m in matches:
-        start, end = m.span("value")
-        blank += [text[last:start], " " * (end - start)]
-        last = end
-    masked = "".join(blank) + text[last:]
-    for m in matches:
-        start, end = m.span("value")
-        value = m["value"]
-        mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value) or (value.lower() != value and value.upper() != value)
+    strings, out = candidates(text), []
+    masked = blanked(text, strings)
+    for start, end, name in strings:
+        value = text[start:end]
         around = masked[max(0, start - CONTEXT) : start] + "\n" + masked[end : end + CONTEXT]
-        if mixed and (extra := novelty(z, around, value)) >= NOVELTY * len(value.encode()):
-            out.append((start, end, m["name"], extra))
+        if (extra := novelty(z, around, value)) >= NOVELTY * len(value.encode()):
+            out.append((start, end, name, extra))
     return out
 
 
@@ -109,8 +176,10 @@ def identifiers(docs: DataFrame) -> str:
             col = b.column(0)
             for row in sensitive_rows(col):
                 text = col[int(row)].as_py()
-                for m in candidates(text):
-                    around = text[max(0, m.start() - CONTEXT) : m.start("value")] + " " + text[m.end() : m.end() + CONTEXT]
+                strings = candidates(text)
+                text = blanked(text, strings)
+                for start, end, _ in strings:
+                    around = text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]
                     seen.update(set(WORD.findall(around)))
             if seen:
                 yield pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
