@@ -5,10 +5,13 @@ encoding.  For each prefix of a piece (the pre-tokenizer's unit) that token is
 stored; the encoding is read off backwards.  A token t may follow the prefix before it
 if t and that prefix's last token would not have merged otherwise, which a walk down
 both tokens' merge trees decides.  So an append goes on from the stored prefixes, and
-an edit re-encodes from the piece before it until pieces fall together again.
+an edit re-encodes from the piece before it until pieces, or the stored tokens of a long piece, fall together again.
 
 Whole Arrow chunks are handled at once: pieces are cut and hashed with numpy, each
 distinct piece is encoded once a worker, and documents are gathered from those.
+
+Defined cases: a text without bytes has no tokens; a piece of any length (one letter a million times, base64, text
+without spaces) takes time in proportion to its bytes; equal pieces have equal tokens wherever they stand.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import base64
 import unicodedata
 from pathlib import Path
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 
@@ -24,8 +28,8 @@ from . import textkit as K
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _EXACT = np.random.default_rng(20240118).integers(1, 1 << 64, 256, dtype=np.uint64)
-NONE = -1
-CACHED_PIECES = 1_500_000
+START, APART = -1, "\u0100"
+CACHED_PIECES, KNOWN_PAIRS = 1_500_000, 500_000
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 _BLANKS = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: list[np.ndarray] = []
@@ -41,33 +45,6 @@ def char_classes() -> np.ndarray:
     return _classes[0]
 
 
-class HashTable:
-    """Static map of uint64 keys to int32 values: levels of 2**bits slots, each key at the first level where it is alone."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 17):
-        self.bits, self.levels = bits, []
-        while len(keys):
-            at = self._at(keys, len(self.levels))
-            slot, where = np.unique(at, return_index=True)
-            k, v = np.zeros(1 << bits, np.uint64), np.full(1 << bits, NONE, np.int32)
-            k[slot], v[slot] = keys[where], values[where]
-            self.levels.append((k, v))
-            rest = np.ones(len(keys), bool)
-            rest[where] = False
-            keys, values = keys[rest], values[rest]
-
-    def _at(self, keys: np.ndarray, level: int) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits - 7 * level)) & np.uint64((1 << self.bits) - 1)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), NONE, np.int32)
-        for i, (k, v) in enumerate(self.levels):
-            at = self._at(keys, i)
-            hit = k[at] == keys
-            out[hit] = v[at[hit]]
-        return out
-
-
 def _exact_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return K.span_hash(K.prefix_hash(buf, _EXACT), start, end)
 
@@ -84,14 +61,11 @@ class Bpe:
         self.length = np.array([len(t) for t in self.bytes], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.left, self.right = np.arange(size), np.arange(size)
+        self.left, self.right = list(range(size)), list(range(size))
         for t, r in ranks.items():
             if len(t) > 1:
                 self.left[r], self.right[r] = self._split(t, r)
-        some = np.flatnonzero(self.left != np.arange(size))
-        self.pairs = HashTable(self._pair(self.left[some], self.right[some]), some.astype(np.int32))
-        known = np.flatnonzero(self.length > 0)
-        self.vocab = HashTable(_exact_hashes(self.flat, self.start[known], self.start[known] + self.length[known]), known.astype(np.int32))
+        self.merges = {a << 32 | b: r for r, (a, b) in enumerate(zip(self.left, self.right)) if a != r}
         self.longest = int(self.length.max())
 
     @classmethod
@@ -99,10 +73,6 @@ class Bpe:
         with Path(path).open("rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
-    @staticmethod
-    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return K.mix((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
-
     def _split(self, token: bytes, rank: int) -> tuple[int, int]:
         parts = [bytes([x]) for x in token]
         while len(parts) > 2:
@@ -112,75 +82,89 @@ class Bpe:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return self.ranks[parts[0]], self.ranks[parts[1]]
 
-    def may_follow(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_automaton", "_apart")}
+
+    def automaton(self) -> ahocorasick.Automaton:
+        """All tokens, with bytes as the characters of Latin-1; built once a worker."""
+        if "_automaton" not in self.__dict__:
+            self._automaton, self._apart = ahocorasick.Automaton(), {}
+            for r, t in enumerate(self.bytes):
+                if t:
+                    self._automaton.add_word(t.decode("latin-1"), (r, len(t)))
+            self._automaton.make_automaton()
+        return self._automaton
+
+    def may_follow(self, a: int, b: int) -> bool:
         """Whether BPE leaves the two tokens apart when they meet."""
-        out = np.ones(len(first), bool)
-        at = np.arange(len(first))
-        a, b, limit = first.astype(np.int64), second.astype(np.int64), np.full(len(first), 1 << 40, np.int64)
-        while len(at):
-            joined = self.pairs.get(self._pair(a, b))
-            bad = (joined != NONE) & (joined < limit)
-            out[at[bad]] = False
-            live = ~bad
-            at, a, b, limit = at[live], a[live], b[live], limit[live]
-            la, rb = self.right[a], self.left[b]
-            by_a = a > b
+        limit, merges, left, right = 1 << 40, self.merges, self.left, self.right
+        while True:
+            if merges.get(a << 32 | b, limit) < limit:
+                return False
             # take apart the younger token; if it is a single byte, the other one
-            down_a = np.where(by_a, la != a, (rb == b) & (la != a))
-            down_b = np.where(by_a, (la == a) & (rb != b), rb != b)
-            go = down_a | down_b
-            limit = np.where(down_a, a, b + 1)
-            a, b = np.where(down_a, la, a), np.where(down_b, rb, b)
-            at, a, b, limit = at[go], a[go], b[go], limit[go]
-        return out
+            if (a > b and right[a] != a) or (a <= b and left[b] == b and right[a] != a):
+                limit, a = a, right[a]
+            elif left[b] != b:
+                limit, b = b + 1, left[b]
+            else:
+                return True
+
+    def fill(self, text: str, last: list[int], begin: int = 0, old: list[int] | None = None, tail: int = 0) -> int:
+        """Set last[i], for i from begin, to the last token of the encoding that ends with the byte i of text.
+
+        Bytes are the characters of Latin-1; APART separates pieces, and last is START there.  Of the tokens that end at
+        a byte, which the automaton lists, the one that may follow what is before it is taken, so the work is in
+        proportion to the bytes.  With old, the values of an earlier text that ends alike from tail on, it
+        stops where as many values as the longest token has bytes agree, for all that follow agree too.  Returns where it stopped.
+        """
+        tokens = self.automaton()
+        apart, may_follow = self._apart, self.may_follow
+        if len(apart) > KNOWN_PAIRS:
+            apart.clear()
+        done, alike, shift = -1, 0, 0 if old is None else len(text) - len(old)
+        for e, (t, n) in tokens.iter(text, max(0, begin - self.longest)):
+            if e == done or e < begin:
+                continue
+            before = last[e - n] if e >= n else START
+            if before >= 0:
+                key = before << 32 | t
+                ok = apart.get(key)
+                if ok is None:
+                    ok = apart[key] = may_follow(before, t)
+                if not ok:
+                    continue
+            last[e] = t
+            done = e
+            if old is not None:
+                alike = alike + 1 if e >= tail and e >= shift and old[e - shift] == t else 0
+                if alike >= self.longest:
+                    return e + 1
+        return len(text)
 
     def last_tokens(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For each byte of the pieces (laid end to end), the last token of the piece's encoding up to it."""
-        n = end - start
-        base = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64)
-        last = np.full(int(n.sum()), NONE, np.int32)
-        prefix = K.prefix_hash(buf, _EXACT)
-        order = np.argsort(-n, kind="stable")
-        sizes = -n[order]
-        for i in range(1, int(n.max(initial=0)) + 1):
-            todo = order[: np.searchsorted(sizes, -i, "right")]
-            for size in range(min(i, self.longest), 0, -1):
-                tok = self.vocab.get(K.span_hash(prefix, start[todo] + i - size, start[todo] + i))
-                have = np.flatnonzero(tok != NONE)
-                if not len(have):
-                    continue
-                if size < i:
-                    p, t = todo[have], tok[have]
-                    before = last[base[p] + i - size - 1]
-                    have = have[self.may_follow(before, t)]
-                last[base[todo[have]] + i - 1] = tok[have]
-                rest = np.ones(len(todo), bool)
-                rest[have] = False
-                todo = todo[rest]
-                if not len(todo):
-                    break
-        return last
+        raw = buf.tobytes().decode("latin-1")
+        text = APART.join(raw[a:b] for a, b in zip(start.tolist(), end.tolist()))
+        last = [START] * len(text)
+        self.fill(text, last)
+        found = np.array(last, np.int32)
+        return found[found != START]
 
     def walk_back(self, last: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all pieces end to end, and offsets, from last_tokens() of pieces of n bytes."""
-        base = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64)
-        at, who = n.copy(), np.arange(len(n))
-        found = []
-        while len(who):
-            t = last[base[who] + at - 1]
-            found.append((who, t))
-            at = at - self.length[t]
-            go = at > 0
-            who, at = who[go], at[go]
-        count = np.zeros(len(n), np.int64)
-        for who, _ in found:
-            count[who] += 1
-        off = np.concatenate([[0], np.cumsum(count)])
-        out, place = np.empty(off[-1], np.int32), off[1:].copy()
-        for who, t in found:
-            place[who] -= 1
-            out[place[who]] = t
-        return out, off
+        upto = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        tokens, size = last.tolist(), self.length.tolist()
+        out: list[int] = []
+        count = []
+        for begin, at in zip(upto[:-1].tolist(), upto[1:].tolist()):
+            had = len(out)
+            while at > begin:
+                t = tokens[at - 1]
+                out.append(t)
+                at -= size[t]
+            out[had:] = out[had:][::-1]
+            count.append(len(out) - had)
+        return np.array(out, np.int32), np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
 
     def encode(self, text: str) -> list[int]:
         return Encoder(self).encode_column(pa.array([text]))[0].tolist()
@@ -328,14 +312,32 @@ class PrefixState:
             if cut in new and int(old_after[j - 1]) in new:
                 stop, tail_starts, tail_last = cut, old_after[j:], self.last[cut - shift :]
                 break
-        raw = np.frombuffer(text[at:stop], np.uint8)
-        fresh = piece_starts(np.frombuffer(text[at:], np.uint8), np.array([0])) if stop == len(text) else piece_starts(np.frombuffer(text[at : stop + len(text[stop : stop + 64].decode("utf-8", "ignore").encode())], np.uint8), np.array([0]))
-        fresh = fresh[fresh < stop - at]
-        ends = np.append(fresh[1:], stop - at)
-        mid = self.bpe.last_tokens(raw, fresh, ends) if len(fresh) else np.zeros(0, np.int32)
+        more = len(text[stop : stop + 64].decode("utf-8", "ignore").encode())
+        fresh = piece_starts(np.frombuffer(text[at : stop + more], np.uint8), np.array([0])) + at
+        fresh = fresh[fresh < stop]
+        ends = np.append(fresh[1:], stop)
+        mid = [self._piece(text, int(x), int(y), start, start + len(put_b), shift) for x, y in zip(fresh, ends)]
         self.text = text
-        self.starts = np.concatenate([head_starts, fresh + at, tail_starts])
-        self.last = np.concatenate([head_last, mid, tail_last])
+        self.starts = np.concatenate([head_starts, fresh, tail_starts])
+        self.last = np.concatenate([head_last, *mid, tail_last]).astype(np.int32)
+
+    def _piece(self, text: bytes, x: int, y: int, start: int, put_end: int, shift: int) -> np.ndarray:
+        """Last tokens of the piece [x, y) of the new text; what the old one stores of it before and after the edit is used again."""
+        known, old = 0, None
+        last = [START] * (y - x)
+        bounds = np.append(self.starts, len(self.text))
+        i = int(np.searchsorted(self.starts, x))
+        if x <= start and i < len(self.starts) and self.starts[i] == x:
+            known = max(0, min(start, y, int(bounds[i + 1])) - x)
+            last[:known] = self.last[x : x + known].tolist()
+        j = int(np.searchsorted(bounds, y - shift))
+        if y > put_end and 0 < j < len(bounds) and bounds[j] == y - shift:
+            old = self.last[int(bounds[j - 1]) : y - shift].tolist()
+        if known < y - x:
+            stop = self.bpe.fill(text[x:y].decode("latin-1"), last, known, old, max(0, put_end - x))
+            if stop < y - x:
+                last[stop:] = old[stop - (y - x) :]
+        return np.array(last, np.int32)
 
     def ids(self) -> list[int]:
         n = np.append(self.starts[1:], len(self.text)) - self.starts

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,37 @@ def test_edits(vocabulary, other):
         assert state.ids() == other.encode_ordinary(state.text.decode())
 
 
+LONG = {
+    "letter": "a" * 1_000_000,
+    "base64": base64.b64encode(random.Random(1).randbytes(750_000)).decode(),
+    "cjk": "".join(chr(random.Random(i).randint(0x4E00, 0x9FA5)) for i in range(333_000)),
+    "letters": "".join(random.Random(3).choices("etaoinshrdlu", k=300_000)),
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_pieces(vocabulary, other, kind):
+    text = LONG[kind]
+    vocabulary.automaton()
+    began = time.process_time()
+    ids = vocabulary.encode(text)
+    assert time.process_time() - began < 5
+    assert ids == other.encode_ordinary(text)
+
+
+def test_edits_in_a_long_piece(vocabulary, other, monkeypatch):
+    rng = random.Random(6)
+    visited = []
+    fill = bpe.Bpe.fill
+    monkeypatch.setattr(bpe.Bpe, "fill", lambda self, text, last, begin=0, *rest: visited.append((begin, end := fill(self, text, last, begin, *rest))) or end)
+    state = bpe.PrefixState(vocabulary, "".join(rng.choices("etaoinshr", k=5000)))
+    for at, end, put in ((5000, 5000, "more"), (2500, 2500, "x"), (2500, 2510, ""), (2000, 2003, "a b"), (4000, 4001, "é")):
+        visited.clear()
+        state.edit(at, end, put)
+        assert sum(b - a for a, b in visited) < 1500  # near the edit only
+        assert state.ids() == other.encode_ordinary(state.text.decode())
+
+
 def test_encode_query(spark, odd_docs, other, no_docs):
     texts = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
     rows = tokens.encode(odd_docs).collect()
