@@ -11,13 +11,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
+CHUNK_BYTES, BATCH_BYTES, TASK_BYTES = 2 << 20, 8 << 20, 64 << 20
 _BYTES, _DEFAULTS = "spark.sql.execution.arrow.maxBytesPerBatch", (str(64 << 20), str((1 << 31) - 1))
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
@@ -25,6 +26,7 @@ _TABLE = np.random.default_rng(20240117).integers(1, 1 << 64, 256, dtype=np.uint
 _TABLE[65:91] = _TABLE[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+_made: list[str] = []
 _pow = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -39,29 +41,61 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset one of our own."""
+    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only where all runs on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="eventloom-")
         spark.conf.set("spark.checkpoint.dir", at)
+        _remove_at_exit(spark, at)
     return at.rstrip("/")
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back."""
+    """Cut lineage: write df to the shared folder and read it back.
+
+    A table is removed by drop_materialized() or released(), else when the driver ends, since the result that reads it is lazy.
+    """
     spark = df.sparkSession
     tune(spark)
     path = f"{shared_dir(spark)}/eventloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _remove_at_exit(spark, path)
+    _made.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.eventloom_path = path
+    return table
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_materialized(df: DataFrame) -> None:
     """Remove a table of materialize() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(df.sparkSession, df.eventloom_path)
+
+
+@contextmanager
+def released(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
+    """Remove on leaving all tables materialized inside, but for those of `keep`, which may be filled inside."""
+    before = len(_made)
+    yield
+    for path in set(_made[before:]) - {df.eventloom_path for df in keep}:
+        _remove(spark, path)
+    del _made[before:]
+
+
+def spread(df: DataFrame, n_bytes: int, *by: str) -> DataFrame:
+    """df shuffled by the columns into as many tasks as its bytes ask for, shuffle.partitions at least."""
+    return df.repartition(max(tasks_for(df.sparkSession), -(-n_bytes // TASK_BYTES)), *by)
 
 
 def tasks_for(spark: SparkSession) -> int:

@@ -56,3 +56,26 @@ def test_empty_and_odd(spark, odd_docs, no_docs):
 def test_registered():
     assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        textkit.shared_dir(Cluster)
+
+
+def test_tables_are_removed(spark):
+    kept = []
+    with textkit.released(spark, kept):
+        gone = textkit.materialize(spark.range(3), "gone")
+        path = Path(gone.inputFiles()[0].removeprefix("file://"))
+        assert path.exists()
+        kept.append(textkit.materialize(gone, "kept"))
+    assert kept[0].count() == 3
+    assert not path.exists()
