@@ -47,6 +47,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = textkit.documents(spark, sf_dir)
+    given = None
     for name, stage in STAGES[:-1]:
-        docs = textkit.materialize(stage(spark, docs, sf_dir), name)
+        kept: list[DataFrame] = []
+        with textkit.released(spark, kept):
+            kept.append(textkit.materialize(stage(spark, docs, sf_dir), name))
+        if given is not None:
+            textkit.drop_materialized(given)
+        docs = given = kept[0]
     return STAGES[-1][1](spark, docs, sf_dir)
