@@ -7,9 +7,9 @@ Expectation-maximisation over these counts estimates each rule's accuracies and
 share of good documents; a document's posterior probability then decides.
 
 Defined cases: a null or blank text has no words, on which every rule but the
-length rule abstains, so it is judged by that rule; nulls in other columns, extra
-columns and repeated rows have no influence on a row's own votes.  An empty table
-gives an empty result.
+length rule abstains, so it is judged by that rule and the share of good documents; a very long text is
+measured whole; a posterior that ties with the threshold keeps the document.  Each repeated row has a row and counts in
+the estimate; nulls in other columns, extra columns and their names have no influence.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def rules(m: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray, np.ndarray]]:
     n, chars = m["n"], m["c"]
     enough = n >= 20
     return [
-        ("length", n >= 30, n < 1),
+        ("length", n >= 30, n < 4),
         ("symbols", (n > 0) & (m["sym"] < 0.01 * chars), (n > 0) & (m["sym"] > 0.05 * chars)),
         ("bangs", enough & (m["runs"] < 0.01 * n), (n >= 5) & (m["runs"] > 0.2 * n)),
         ("capitals", enough & (m["up"] < 0.15 * chars), (n >= 5) & (m["up"] > 0.4 * chars)),
@@ -118,30 +118,26 @@ def votes(column: pa.Array) -> np.ndarray:
     return code
 
 
-def estimate(patterns: list[tuple[int, int]], n_rules: int, prior: float = 0.85, rounds: int = 300) -> tuple[np.ndarray, float]:
+def estimate(patterns: list[tuple[int, int]], n_rules: int, rounds: int = 2000) -> tuple[np.ndarray, float]:
     """Accuracies of each rule on good and on bad documents, and the share of good ones, by EM over (pattern, count).
 
-    Row 0 is P(votes good | good, votes), row 1 P(votes bad | bad, votes); abstaining says nothing.
-    They start at 0.99 and 0.4 and are drawn there by ten pseudo-votes.  A rule may miss most
-    bad documents but is taken to speak ill of a bad document at least twice as often as of a
-    good one, and ill of at most one good document in a hundred; while estimating, a document that no
-    rule speaks ill of counts as good.  This also fixes which class is which.
+    Row 0 is P(votes good | good, votes), row 1 P(votes bad | bad, votes); abstaining says nothing.  Nothing bounds
+    the estimates but one pseudo-vote each way.  The start is a majority vote in which a vote weighs
+    by its rarity, -log of the share of the rule's votes that go its way; this also fixes which class is which, and which of
+    several optima is found.
     """
-    acc, pi = np.stack([np.full(n_rules, 0.99), np.full(n_rules, 0.4)]), prior
     if not patterns:
-        return acc, pi
+        return np.full((2, n_rules), 0.5), 0.5
     code, count = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
     votes = code[:, None] // 3 ** np.arange(n_rules) % 3
+    good, bad = votes == 2, votes == 1
+    share = (count @ bad + 1) / (count @ (good | bad) + 2)
+    post = 1 / (1 + np.exp((good * np.log1p(-share) - bad * np.log(share)).sum(1)))
     for _ in range(rounds):
-        post = np.where((votes == 1).any(1), posterior(votes, acc, pi), 1.0)
-        new = np.empty_like(acc)
-        for row, vote, weight in ((0, 2, post * count), (1, 1, (1 - post) * count)):
-            new[row] = (weight @ (votes == vote) + 10 * (0.99, 0.4)[row]) / (weight @ (votes > 0) + 10)
-        new[0] = np.clip(new[0], 0.99, 0.999)
-        new[1] = np.clip(new[1], 2 * (1 - new[0]), 0.8)
-        pi = float(np.clip((post @ count + 8.5) / (count.sum() + 10), 0.05, 0.99))
-        moved, acc = np.abs(new - acc).max(), new
-        if moved < 1e-9:
+        acc = np.stack([(w @ vote + 1) / (w @ (good | bad) + 2) for vote, w in ((good, post * count), (bad, (1 - post) * count))])
+        pi = float((post @ count + 1) / (count.sum() + 2))
+        before, post = post, posterior(votes, acc, pi)
+        if np.abs(post - before).max() < 1e-9:
             break
     return acc, pi
 
@@ -153,15 +149,14 @@ def posterior(votes: np.ndarray, acc: np.ndarray, pi: float) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def model(docs: DataFrame) -> dict[int, float]:
-    """The posterior of each vote pattern of the corpus.  The driver holds vote patterns only (3**9 at most)."""
+def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in K.chunks(batches):
+        yield pa.record_batch([*b.columns[:-1], pa.array(votes(b.column(b.num_columns - 1)))], [*b.schema.names[:-1], "code"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.chunks(batches):
-            code, n = np.unique(votes(b.column(0)), return_counts=True)
-            yield pa.record_batch([pa.array(code), pa.array(n)], ["code", "n"])
 
-    found = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+def model(codes: DataFrame) -> dict[int, float]:
+    """The posterior of each vote pattern in the column code.  The driver holds vote patterns only (3**9 at most)."""
+    found = codes.groupBy("code").agg(F.count("*").alias("n")).collect()
     patterns = sorted((r["code"], r["n"]) for r in found)
     a, pi = estimate(patterns, len(NAMES))
     codes = np.array([c for c, _ in patterns], np.int64)
@@ -170,25 +165,21 @@ def model(docs: DataFrame) -> dict[int, float]:
 
 
 def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row a document: doc_id, votes by rule (1 good, 0 bad, null abstains), posterior, keep."""
-    docs = docs.select("doc_id", "text")
-    known = model(docs)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.chunks(batches):
-            code = votes(b.column(1))
-            each = code[:, None] // 3 ** np.arange(len(NAMES)) % 3
-            post = np.array([known[c] for c in code.tolist()])
-            cast = [pa.array((v - 1).astype(np.int32), mask=v == 0) for v in each.T]
-            yield pa.record_batch([b.column(0), *cast, pa.array(post), pa.array(post >= threshold)], ["doc_id", *[f"vote_{k}" for k in NAMES], "posterior", "keep"])
+    """One row a document: doc_id, votes by rule (1 good, 0 bad, null abstains), posterior, keep.
 
+    Texts are measured once; the votes, as one number a row, are written and read for the estimate and the result.
+    """
+    docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(judge, f"doc_id {kind}, " + "".join(f"vote_{k} int, " for k in NAMES) + "posterior double, keep boolean")
+    coded = K.materialize(docs.mapInArrow(_coder, f"doc_id {kind}, code long"), "votes")
+    known = docs.sparkSession.createDataFrame(sorted(model(coded).items()), "code long, posterior double")
+    each = [(F.nullif(F.expr(f"pmod(div(code, {3**i}), 3)"), F.lit(0)) - 1).cast("int").alias(f"vote_{k}") for i, k in enumerate(NAMES)]
+    return coded.join(known, "code").select("doc_id", *each, "posterior", (F.col("posterior") >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose posterior reaches the threshold, with the columns of docs."""
-    known = model(docs)
+    known = model(docs.select("text").mapInArrow(_coder, "code long"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches):

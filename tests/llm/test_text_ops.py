@@ -1,6 +1,7 @@
 """Packing, secrets, tokens, encoding, quality and toxicity."""
 
 import base64
+import math
 import random
 import time
 
@@ -243,6 +244,7 @@ def brute_measures(text):
         "c": len(chars),
         "sym": sum(c in "#$%&*=<>^~{}\\|@_" for c in text),
         "runs": sum(a == b and chr(a) in "!?#$%&*.,;:" for a, b in zip(raw, raw[1:])),
+        "up": sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or "\u00c0" <= c <= "\u00de" or "\u0410" <= c <= "\u042f" for c in text),
         "u": len(set(low)),
         "same": sum(a == b for a, b in zip(low, low[1:])),
         "stop": sum(x in quality.STOP for x in low),
@@ -251,7 +253,7 @@ def brute_measures(text):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.none() | st.text(st.sampled_from("aAé.!| \n&the"), max_size=40), min_size=1, max_size=6))
+@given(st.lists(st.none() | st.text(st.sampled_from("aAéÉДд.!| \n&the"), max_size=40), min_size=1, max_size=6))
 def test_measures(texts):
     m = quality.measures(pa.array(texts, pa.string()))
     for i, t in enumerate(texts):
@@ -277,6 +279,49 @@ def test_quality_em(spark, odd_docs, no_docs, prose):
     assert quality.quality(no_docs).count() == 0 and quality.keep_good(no_docs).count() == 0
 
 
+def drawn(rng, n, acc, pi, cast=0.8):
+    good = rng.random(n) < pi
+    right = rng.random((n, acc.shape[1])) < np.where(good[:, None], acc[0], acc[1])
+    return np.where(rng.random(right.shape) < cast, np.where(right == good[:, None], 2, 1), 0), good
+
+
+@pytest.mark.parametrize("pi", [0.85, 0.6])
+def test_accuracies_are_recovered(pi):
+    rng = np.random.default_rng(int(pi * 100))
+    acc = np.stack([rng.uniform(0.7, 0.98, 9), rng.uniform(0.6, 0.95, 9)])
+    votes, good = drawn(rng, 20_000, acc, pi)
+    code, n = np.unique((votes * 3 ** np.arange(9)).sum(1), return_counts=True)
+    got, share = quality.estimate(list(zip(code.tolist(), n.tolist())), 9)
+    assert np.abs(got - acc).max() < 0.05 and abs(share - pi) < 0.05
+    assert ((quality.posterior(votes, got, share) >= 0.5) == good).mean() > 0.95
+
+
+def test_em_against_enumeration():
+    """Three rules, a document at a time, with plain products of probabilities."""
+    rng = np.random.default_rng(4)
+    votes, _ = drawn(rng, 400, np.array([[0.9, 0.8, 0.95], [0.7, 0.85, 0.6]]), 0.7)
+    share = [(sum(v[j] == 1 for v in votes) + 1) / (sum(v[j] > 0 for v in votes) + 2) for j in range(3)]
+    post = []
+    for v in votes:
+        z = sum(-math.log(1 - share[j]) if v[j] == 2 else math.log(share[j]) if v[j] == 1 else 0 for j in range(3))
+        post.append(1 / (1 + math.exp(-z)))
+    for _ in range(400):
+        good = [(sum(p for p, v in zip(post, votes) if v[j] == 2) + 1) / (sum(p for p, v in zip(post, votes) if v[j]) + 2) for j in range(3)]
+        bad = [(sum(1 - p for p, v in zip(post, votes) if v[j] == 1) + 1) / (sum(1 - p for p, v in zip(post, votes) if v[j]) + 2) for j in range(3)]
+        pi = (sum(post) + 1) / (len(post) + 2)
+        post = []
+        for v in votes:
+            of_good, of_bad = pi, 1 - pi
+            for j in range(3):
+                of_good *= {2: good[j], 1: 1 - good[j], 0: 1}[v[j]]
+                of_bad *= {2: 1 - bad[j], 1: bad[j], 0: 1}[v[j]]
+            post.append(of_good / (of_good + of_bad))
+    code, n = np.unique((votes * 3 ** np.arange(3)).sum(1), return_counts=True)
+    acc, share = quality.estimate(list(zip(code.tolist(), n.tolist())), 3)
+    assert np.allclose(acc, [good, bad], atol=1e-4) and share == pytest.approx(pi, abs=1e-4)
+    assert np.allclose(quality.posterior(votes, acc, share), post, atol=1e-3)
+
+
 BAD = ["grumblefax", "snorkwit", "blightmug"]
 
 
