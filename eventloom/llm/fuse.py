@@ -120,9 +120,9 @@ def flag(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not in the column h of ids; only rows that may be are shuffled."""
-    flagged = flag(docs, F.col("doc_id").cast("long"), ids)
-    named = ids.select(F.col("h").alias("__el_id"))
+    """docs whose doc_id is not in the one column of ids, of the same type; only rows that may be are shuffled."""
+    named = ids.toDF("__el_id")
+    flagged = flag(docs, F.expr("if(doc_id is null, null, xxhash64(doc_id))"), named.select(F.xxhash64("__el_id").alias("h")))
     maybe = flagged.where("__el_maybe")
     rest = maybe.join(named, maybe["doc_id"] == named["__el_id"], "left_anti")
     return flagged.where("not __el_maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))

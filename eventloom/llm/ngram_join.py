@@ -2,15 +2,19 @@
 
 A document is the set of its word n-grams (64-bit hashes).  Rows a band and number of
 bands follow from the threshold and the recall asked for at it.  Documents with equal
-sets are first folded into one, exactly: their pairs come out as a star around
-the least doc_id.  What is left meets on band hashes; documents connected by shared
-bands form clusters, and each cluster is cut into blocks whose pairs are verified on
-the full n-gram sets, so that no task holds more than two blocks and no
-candidate is dropped.
+sets are first folded into one, exactly, and the pairs that are found are unfolded at the end: every pair
+of documents comes out, those of equal sets too.  What is left meets on band hashes.  Of each
+document the least one that it shares a band with is its label; documents of one label, in blocks of BLOCK, are a tile.
+Two tiles are compared where documents of both share a band, and of those tiles only such documents: their texts
+are sent once for each pair of tiles, and all pairs are verified on the full n-gram sets.  So a task holds two
+blocks at most, no candidate is dropped, and documents that are only connected through others never meet.
 
 Defined cases: a null or blank text has an empty set and pairs with nothing, as
-does a row without doc_id; rows of one doc_id never pair with each other.  A text of fewer than n
-words is one n-gram of all its words.
+does a row without doc_id; doc_id may be of any type that can be ordered.  Rows of one doc_id never pair with each other,
+and a pair comes out once whatever rows it has, with the highest Jaccard of them; keep_one keeps or drops such rows together.
+A text of fewer than n words is one n-gram of all its words, a very long one is taken whole.  Equal
+sets tie at Jaccard 1; of a group the least doc_id stays.  Other columns, whatever their names, have no influence and
+are kept by keep_one.  An empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +45,10 @@ def banding(threshold: float, recall: float, most: int = 128) -> tuple[int, int]
     return best
 
 
-def signatures(n: int, bands: int, rows: int, seed: int = 7):
+def signatures(n: int, bands: int, rows: int, kind: str, seed: int = 7):
     rng = np.random.default_rng(seed)
     mult = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
     add = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.chunks(batches):
@@ -72,10 +76,10 @@ def signatures(n: int, bands: int, rows: int, seed: int = 7):
                     pa.array(d2.view(np.int64)),
                     K.list_array(out.view(np.int64).ravel(), np.arange(len(some) + 1) * bands, pa.int64()),
                 ],
-                schema=schema,
+                ["doc_id", "size", "d1", "d2", "bands"],
             )
 
-    return run, "doc_id long, size int, d1 long, d2 long, bands array<long>"
+    return run, f"doc_id {kind}, size int, d1 long, d2 long, bands array<long>"
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -115,62 +119,82 @@ def jaccard_matrix(sets: list[np.ndarray]) -> np.ndarray:
     return both / np.maximum(size[:, None] + size[None, :] - both, 1)
 
 
-def verifier(n: int, threshold: float):
-    """Over rows (root, lo, hi, block, doc_id, text) sorted by the first three: the pairs at the threshold."""
+def verifier(n: int, threshold: float, kind: str):
+    """Over rows (lo, hi, tile, doc_id, text) sorted by lo, hi and doc_id: the pairs at the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, 3):
+        for t in groups(batches, 2):
             if t.num_rows < 2:
                 continue
             t = t.combine_chunks()
             words, first = K.word_hashes(t.column("text").chunk(0))
             sh, off = K.shingle_hashes(words, first, n)
             sets = [np.unique(sh[a:b]) for a, b in zip(off, off[1:])]
-            ids, block = t.column("doc_id").to_numpy(), t.column("block").to_numpy()
+            ids, tile = t.column("doc_id").chunk(0), t.column("tile").to_numpy()
             if len(sets) == 2:
                 both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
                 j = both / max(1, len(sets[0]) + len(sets[1]) - both)
                 jac = np.array([[1, j], [j, 1]])
             else:
                 jac = jaccard_matrix(sets)
-            lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+            order = np.concatenate([[0], np.cumsum(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False))])
             a, b = np.nonzero(jac >= threshold)
-            ok = (ids[a] < ids[b]) & ((block[a] != block[b]) if lo != hi else True)
+            ok = (order[a] < order[b]) & ((tile[a] != tile[b]) if t.column("lo")[0] != t.column("hi")[0] else True)
             a, b = a[ok], b[ok]
             if len(a):
-                yield pa.record_batch([pa.array(ids[a]), pa.array(ids[b]), pa.array(np.round(jac[a, b], 6))], ["doc_a", "doc_b", "jaccard"])
+                yield pa.record_batch([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(np.round(jac[a, b], 6))], ["a", "b", "jaccard"])
 
-    return run, "doc_a long, doc_b long, jaccard double"
+    return run, f"a {kind}, b {kind}, jaccard double"
 
 
-def near_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: float = 0.95) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair found at the threshold; documents with equal sets as a star."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.6, recall: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep, copies) of the documents of which others have the same set, and the pairs (a, b, jaccard), a < b, of all others and representatives."""
+    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     bands, rows = banding(threshold, recall)
-    sig = K.materialize(docs.mapInArrow(*signatures(n, bands, rows)), "minhash")
-    same = sig.groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    star = sig.select("doc_id", "size", "d1", "d2").join(same.where("copies > 1"), ["size", "d1", "d2"]).where("doc_id <> rep")
-    star = star.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-
-    reps = sig.join(same.where("copies > 1").select("size", "d1", "d2", "rep"), ["size", "d1", "d2"], "left")
-    reps = reps.where("rep is null or rep = doc_id").select("doc_id", F.explode("bands").alias("band"))
-    least = F.min("doc_id").over(Window.partitionBy("band"))
-    edges = reps.select(F.col("doc_id").alias("a"), least.alias("b")).where("a <> b")
-    member = K.components(edges)
-    member = K.materialize(member.union(member.select(F.col("root").alias("id"), "root").distinct()).distinct(), "clusters")
-
-    place = F.row_number().over(Window.partitionBy("root").orderBy("id")) - 1
-    size = F.count("*").over(Window.partitionBy("root"))
-    placed = member.select("id", "root", F.floor(place / BLOCK).cast("int").alias("block"), F.ceil(size / BLOCK).cast("int").alias("blocks"))
-    mine = fuse.flag(docs, F.col("doc_id"), member.select(F.col("id").alias("h"))).where("__el_maybe")
-    rows_ = mine.join(placed, mine["doc_id"] == placed["id"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows_ = rows_.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "text")
-    sorted_ = rows_.repartition(K.tasks_for(docs.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "doc_id")
-    return sorted_.mapInArrow(*verifier(n, threshold)).distinct().union(star)
+    sig = K.materialize(docs.mapInArrow(*signatures(n, bands, rows, kind)), "minhash")
+    key = ["size", "d1", "d2"]
+    same = sig.groupBy(key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("copies")).where("rep <> last").drop("last")
+    member = K.materialize(sig.select("doc_id", *key).join(same, key).select("doc_id", "rep", "copies").distinct(), "equal-sets")
+
+    reps = sig.join(same.select(*key, "rep"), key, "left").where("rep is null or rep = doc_id")
+    band = Window.partitionBy("band")
+    found = reps.select("doc_id", "size", F.explode("bands").alias("band")).select("*", F.min("doc_id").over(band).alias("least"), F.max("doc_id").over(band).alias("most"))
+    buckets = K.materialize(found.where("least <> most").select("band", "doc_id", "size", "least"), "buckets")
+    label = buckets.groupBy("doc_id").agg(F.min("least").alias("label"))
+    blocks = label.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    tile = label.join(blocks, "label").select("doc_id", F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), "blocks")).alias("tile"))
+    met = buckets.join(tile, "doc_id").withColumn("others", F.collect_set("tile").over(band)).select("doc_id", "size", "tile", F.explode("others").alias("other"))
+    met = met.select("doc_id", "size", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+    wanted = K.materialize(met.groupBy("lo", "hi", "tile", "doc_id").agg(F.max("size").alias("size")), "tiles")
+
+    n_bytes = 8 * (wanted.agg(F.sum("size")).first()[0] or 0)
+    mine = fuse.flag(docs, F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id").alias("h")).distinct()).where("__el_maybe")
+    rows_ = mine.join(wanted, "doc_id").select("lo", "hi", "tile", "doc_id", "text")
+    sorted_ = K.spread(rows_, n_bytes, "lo", "hi").sortWithinPartitions("lo", "hi", "doc_id")
+    pairs = sorted_.mapInArrow(*verifier(n, threshold, kind)).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    return member, pairs
+
+
+def near_pairs(docs: DataFrame, **how) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair found at the threshold, and every pair of equal sets."""
+    member, pairs = near_classes(docs, **how)
+    lists = member.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("copies") / BLOCK))).groupBy("rep", "part").agg(F.collect_list("doc_id").alias("ids"))
+    every = pairs.unionByName(member.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard")).distinct())
+    for side in "ab":
+        mine = lists.select(F.col("rep").alias(side), F.col("part").alias(f"part_{side}"), F.col("ids").alias(f"ids_{side}"))
+        every = every.join(mine, side, "left").withColumn(f"ids_{side}", F.coalesce(f"ids_{side}", F.array(side)))
+    every = K.materialize(every.where("a <> b or part_a <= part_b"), "pair-blocks")
+    rows = every.agg(F.sum(F.size("ids_a") * F.size("ids_b").cast("long"))).first()[0] or 0
+    every = K.spread(every, 24 * rows, "a", "b", "part_a", "part_b")
+    each = every.select(F.explode("ids_a").alias("x"), "ids_b", "jaccard", F.expr("a = b and part_a = part_b").alias("own"))
+    each = each.select("x", F.explode("ids_b").alias("y"), "jaccard", "own").where("x < y or (not own and x > y)")
+    return each.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard").distinct()
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one document, that of the least doc_id, of each group connected by near_pairs()."""
-    pairs = near_pairs(docs, **how)
-    gone = K.components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).select(F.col("id").alias("h"))
+    member, pairs = near_classes(docs, **how)
+    edges = pairs.select("a", "b").union(member.select("rep", "doc_id").where("rep <> doc_id"))
+    gone = K.components(edges).select("id")
     return fuse.without(docs, K.materialize(gone, "near-gone"))
