@@ -149,6 +149,28 @@ def test_pack(lengths):
     assert all(used <= cap and (cap == 16 or used > cap // 2) for used, cap in zip(bins.values(), kept))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=25))
+def test_plan_packs_as_piece_by_piece(counts):
+    sizes = (16, 32, 64)
+    lengths = [n for n in sorted(counts, reverse=True) for _ in range(counts[n])]
+    want, got = {}, {}
+    for (b, at), n in zip(packing.pack(lengths, sizes), lengths):
+        want.setdefault(b, []).append((at, n))
+    packed = packing.plan(counts, sizes)
+    size = np.array(lengths, np.int64)
+    rank = np.array([i for n in sorted(counts, reverse=True) for i in range(counts[n])], np.int64)
+    if len(size):
+        for b, at, filled, n in zip(*(x.tolist() for x in packed.place(size, rank)), lengths):
+            got.setdefault(b, []).append((at, n))
+            assert filled == packed.bins[np.searchsorted(packed.bins[:, 0], b, "right") - 1, 2]
+    fills = lambda bins: sorted(sum(n for _, n in b) for b in bins.values())
+    assert fills(got) == fills(want)  # of bins with equal room and contents either may be taken
+    for b in got.values():
+        b.sort()
+        assert [at for at, _ in b] == [sum(n for _, n in b[:i]) for i in range(len(b))]
+
+
 def test_pack_is_best_fit():
     # 40 opens a bin, 30 can't share it under 64, 20 fits best beside 40, then 4 and 30
     assert [b for b, _ in packing.pack([40, 30, 20, 4], (64,))] == [0, 1, 0, 0]
@@ -168,6 +190,45 @@ def test_pack_documents(spark, odd_docs, no_docs, vocabulary):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_pack_against_piece_by_piece(spark, monkeypatch):
+    """Every piece once, in the bins of the simple packer; common lengths are ranked in several groups."""
+    monkeypatch.setattr(packing, "RANKED_ROWS", 50)
+    rng = random.Random(8)
+    rows = [(f"d{i}" if i % 9 else None, rng.choice([3, 7, 500, 900, 4000, 9000, 20_000, rng.randint(1, 9000), 0])) for i in range(1500)]
+    got = packing.best_fit(spark.createDataFrame(rows, "doc_id string, n_tokens long")).collect()
+    lengths = sorted((min(8192, n - at) for _, n in rows for at in range(0, n, 8192)), reverse=True)
+    want, bins = {}, {}
+    for (b, _), n in zip(packing.pack(lengths), lengths):
+        want.setdefault(b, []).append(n)
+    for r in got:
+        bins.setdefault(r["bin"], []).append((r["at"], r["n_tokens"], r["filled"], r["capacity"]))
+    assert sorted(sum(x[1] for x in b) for b in bins.values()) == sorted(map(sum, want.values()))
+    assert sorted((r["doc_id"] or "", r["piece"], r["n_tokens"]) for r in got) == sorted((i or "", p, min(8192, n - p * 8192)) for i, n in rows for p in range(-(-n // 8192)))
+    for b in bins.values():
+        b.sort()
+        assert [x[0] for x in b] == [sum(y[1] for y in b[:i]) for i in range(len(b))]  # end to end
+        assert all(x[2] == sum(y[1] for y in b) and x[3] == min(s for s in packing.SIZES if s >= x[2]) for x in b)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_pack_is_near_the_best(seed):
+    """Lists of six against all ways to pack them."""
+    sizes, rng = (16, 32, 64), random.Random(seed)
+    lengths = sorted((rng.randint(1, 64) for _ in range(6)), reverse=True)
+    price = lambda used: packing.cost(min(s for s in sizes if s >= used), longest=64)
+
+    def best(i, used):
+        if i == len(lengths):
+            return sum(map(price, used))
+        ways = [best(i + 1, [*used[:k], u + lengths[i], *used[k + 1 :]]) for k, u in enumerate(used) if u + lengths[i] <= 64]
+        return min([best(i + 1, [*used, lengths[i]]), *ways])
+
+    used = {}
+    for (b, _), n in zip(packing.pack(lengths, sizes), lengths):
+        used[b] = used.get(b, 0) + n
+    assert sum(map(price, used.values())) <= 1.25 * best(0, [])
+
+
 HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 
 
