@@ -1,20 +1,20 @@
 """Exact duplicates with static binary-fuse filters.
 
-Documents come as an immutable snapshot and a new batch.  Digests of the snapshot
-are cut into buckets; each bucket gets one binary-fuse filter (8-bit fingerprints,
-about nine bits a key), built once and written to the shared folder.  A new
-digest goes to its bucket's filter; only positives meet the bucket's exact
-digests, and only confirmed ones have their bytes compared.  Duplicates inside the
-new batch are grouped apart.  Snapshot filters are never broadcast: filters and digests
+Documents come as an immutable snapshot and a new batch.  build_snapshot() writes once what later batches are
+screened by: the snapshot's digests, cut into buckets, and for each bucket one binary-fuse filter (8-bit fingerprints,
+about nine bits a key).  screen() reads nothing else of the snapshot: a new digest goes to its bucket's filter, and only
+positives meet the bucket's exact digests.  Documents whose digests are confirmed have their bytes compared; duplicates inside
+the new batch are grouped apart.  Snapshot filters are never broadcast: filters and digests
 meet by a shuffle on the bucket, of which there are as many as the snapshot needs.
 To fetch the texts to compare, one more filter, of the repeated digests alone, leaves
 the other texts where they are; it is sent to all tasks while it takes at most
 fuse.SENT_BYTES, else all texts are shuffled.
 
 Defined cases: a null text is no duplicate of anything and always stays; equal empty
-texts are duplicates.  The keeper of a group is the snapshot's least doc_id, or if
+texts are duplicates, as are very long ones, which are compared whole.  The keeper of a group is the snapshot's least doc_id, or if
 the snapshot has none the batch's least; a null doc_id comes last, and then
-the remaining columns (as JSON) decide, so that of identical rows one stays.
+the remaining columns (as JSON) decide ties, so that of repeated rows one stays.  Other columns may have any names and are kept
+by keep_one; doc_id may be of any type that can be ordered.  An empty snapshot or batch gives no pairs between the two.
 """
 
 from __future__ import annotations
@@ -29,12 +29,40 @@ from . import textkit as K
 
 
 
-def _digests(docs: DataFrame, buckets: int) -> DataFrame:
-    d = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.md5("text").alias("digest"))
-    return d.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+def _digests(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("digest")).count()
 
 
-def screen(filters: DataFrame, digests: DataFrame) -> DataFrame:
+def _bucket(digests: DataFrame, buckets: int) -> DataFrame:
+    return digests.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+
+
+def build_snapshot(docs: DataFrame, path: str | None = None) -> str:
+    """Write the digests and filters of an immutable snapshot to path (by default one in the shared folder, for this session); returns it."""
+    spark = docs.sparkSession
+    path = path or K.temporary_path(spark, "snapshot")
+    buckets = -(-max(1, docs.count()) // fuse.BUCKET_KEYS) * 8
+    _bucket(_digests(docs), buckets).write.parquet(f"{path}/digests")
+    fuse.build_filters(spark.read.parquet(f"{path}/digests")).write.parquet(f"{path}/filters")
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/complete")
+    return path
+
+
+def screen(path: str, batch: DataFrame) -> DataFrame:
+    """The digests (h, digest) of the batch that the snapshot at path holds; its documents are not read."""
+    return screen_digests(path, _digests(batch))
+
+
+def screen_digests(path: str, digests: DataFrame) -> DataFrame:
+    spark = digests.sparkSession
+    buckets = spark.read.parquet(f"{path}/complete").first()["buckets"]
+    known = spark.read.parquet(f"{path}/digests")
+    new = _bucket(digests.select("h", "digest"), buckets)
+    positive = pass_filters(spark.read.parquet(f"{path}/filters"), new)
+    return positive.join(known.select("bucket", "digest"), ["bucket", "digest"], "left_semi").select("h", "digest")
+
+
+def pass_filters(filters: DataFrame, digests: DataFrame) -> DataFrame:
     """The digests that their bucket's filter lets through; a bucket without a filter lets none through."""
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -49,15 +77,10 @@ def screen(filters: DataFrame, digests: DataFrame) -> DataFrame:
 
 def repeated_digests(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     """Digests (h, md5) that occur more than once: in both parts (through the filters), or within one."""
-    rows = max(1, snapshot.count())
-    buckets = -(-rows // fuse.BUCKET_KEYS) * 8
-    old = K.materialize(_digests(snapshot, buckets).groupBy("bucket", "h", "digest").count(), "snapshot")
-    new = K.materialize(_digests(batch, buckets).groupBy("bucket", "h", "digest").count(), "batch")
-    filters = K.materialize(fuse.build_filters(old), "fuse")
-    positive = screen(filters, new.select("bucket", "h", "digest"))
-    confirmed = positive.join(old.select("bucket", "digest"), ["bucket", "digest"], "left_semi").select("h", "digest")
-    inside = old.where("count > 1").select("h", "digest").union(new.where("count > 1").select("h", "digest"))
-    return K.materialize(confirmed.union(inside).distinct(), "repeated")
+    path = build_snapshot(snapshot)
+    old, new = snapshot.sparkSession.read.parquet(f"{path}/digests"), K.materialize(_digests(batch), "batch")
+    inside = [d.where("count > 1").select("h", "digest") for d in (old, new)]
+    return K.materialize(screen_digests(path, new).union(inside[0]).union(inside[1]).distinct(), "repeated")
 
 
 def _order(docs: DataFrame, part: Column) -> Column:

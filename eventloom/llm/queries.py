@@ -9,8 +9,8 @@ from . import ctw, exact, ngram_join, packing, quality, secrets, substring, toke
 from .textkit import documents
 
 def in_batch() -> Column:
-    """Documents with odd ids play the new batch, those with even ids the snapshot."""
-    return F.expr("coalesce(doc_id % 2 <> 0, true)")
+    """Documents with odd ids play the new batch, as do those whose id is no number; those with even ids are the snapshot."""
+    return F.expr("coalesce(try_cast(doc_id AS decimal(38, 0)) % 2 <> 0, true)")
 
 
 def op1_best_fit_packing(spark, sf_dir):

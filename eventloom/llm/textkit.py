@@ -57,6 +57,13 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/eventloom/{name}-{uuid.uuid4().hex}"
+    _remove_at_exit(spark, path)
+    _made.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back.
 
@@ -64,10 +71,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     tune(spark)
-    path = f"{shared_dir(spark)}/eventloom/{name}-{uuid.uuid4().hex}"
+    path = temporary_path(spark, name)
     df.write.parquet(path)
-    _remove_at_exit(spark, path)
-    _made.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.eventloom_path = path
     return table

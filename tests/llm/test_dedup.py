@@ -1,6 +1,8 @@
 """Exact duplicates, n-gram join and passages against brute force."""
 
+import hashlib
 import random
+import shutil
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +30,24 @@ def test_exact_pairs(spark, odd_docs):
     assert got == {(9, 2), (5, 6), (7, 8)}
 
 
+def test_snapshot_outlives_its_documents(spark, tmp_path, odd_docs):
+    at = str(tmp_path / "docs")
+    odd_docs.write.parquet(at)
+    path = exact.build_snapshot(spark.read.parquet(at), str(tmp_path / "snapshot"))
+    shutil.rmtree(at)
+    for texts, want in ((["ties", "new", None, "new"], {"ties"}), (["other", ""], {""}), ([], set())):
+        batch = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        assert {r["digest"] for r in exact.screen(path, batch).collect()} == {hashlib.md5(t.encode()).hexdigest() for t in want}
+    nothing = exact.build_snapshot(odd_docs.limit(0), str(tmp_path / "nothing"))
+    assert exact.screen(nothing, odd_docs).count() == 0
+
+
+def test_exact_with_other_ids(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "x"), ("2", "y"), (None, "y"), ("3", "y")], "doc_id string, text string")
+    assert {tuple(r) for r in exact.duplicates(docs, in_batch()).collect()} == {("b", "a"), ("3", "2")}
+    assert sorted(r["doc_id"] for r in exact.keep_one(docs, in_batch()).collect()) == ["2", "a"]
+
+
 def test_exact_keep_one(spark, odd_docs):
     kept = exact.keep_one(odd_docs, in_batch())
     assert kept.columns == odd_docs.columns
