@@ -1,15 +1,18 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
-A candidate is a string of at least 16 characters without blanks, quotes, brackets, commas or semicolons, that stands
-within WINDOW characters of a sensitive name (token = "...", <password>...</password>, API key: ..., and so on),
-or the body of a private key block.  Its novelty is what it adds, in bytes for
+A candidate is a string without blanks, quotes, brackets, commas or semicolons that stands
+within WINDOW characters of a sensitive name (token = "...", <password>...</password>, API key: ..., and so on, in several
+languages) and has at least SHORTEST characters, or SHORT ones if it is assigned to the name by = or in quotes; so is a password in a
+URL, a string that begins as issued keys do (AKIA, ghp_ and others), and the body of a private key block.  Its novelty is what it adds, in bytes for
 each of its own, to the compressed size of the text around it, with a compressor primed by
 identifiers: common code words, and the words that stand around sensitive names in
-the corpus (all documents count; the most frequent fill 32 KB).  Words of the dictionary,
+the corpus (all documents count; the most frequent fill 32 KB, the size of a dictionary, whatever the corpus).  Words of the dictionary,
 placeholders and repeats compress away; random strings of any kind of characters don't, and are reported.
 
-Defined cases: null and blank texts hold no secret; very long texts are searched whole; repeated
-rows are each reported.  Offsets count characters.
+Defined cases: null, empty and blank texts hold no secret; very long texts are searched whole; repeated
+rows, and a secret that stands several times in a text, are each reported; of words of equal frequency the dictionary
+takes the first in order of letters; a string that ties with the threshold is reported.  Offsets count characters.
+Columns other than doc_id (of any type), text and n_chars have no influence, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +33,21 @@ from pyspark.sql import functions as F
 from . import textkit as K
 
 PARTED = [f"{kind}{by}key" for kind in ("api", "access", "private") for by in ("", "_", "-", " ")]
-NAMES = ("token", "secret", "passw", "passphrase", "pwd", *PARTED, "auth", "credential", "bearer")
-NAME = re.compile(r"(?i)token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|private)[ _-]?key|auth|credential|bearer")
-STRING = re.compile(r"""[^\s"'`<>(){}\[\],;]{16,}""")
+OTHER = ("contrase", "kennwort", "mot de passe", "senha", "\u043f\u0430\u0440\u043e\u043b\u044c", "\u041f\u0430\u0440\u043e\u043b\u044c", "\u5bc6\u7801", "\u30d1\u30b9\u30ef\u30fc\u30c9")
+ISSUED_NAMES = ("akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "sk_test_", "aiza")
+NAMES = ("token", "secret", "passw", "passphrase", "pwd", *PARTED, "auth", "credential", "bearer", *OTHER, *ISSUED_NAMES)
+NAME = re.compile(
+    r"(?i)token|secret|passw(?:or)?[dt]|passphrase|pwd|(?:api|access|private)[ _-]?key|auth|credential|bearer"
+    r"|contrase\u00f1a|contrasena|kennwort|mot de passe|\bsenha\b|\u043f\u0430\u0440\u043e\u043b\u044c|\u5bc6\u7801|\u30d1\u30b9\u30ef\u30fc\u30c9"
+)
+STRING = re.compile(r"""[^\s"'`<>(){}\[\],;]{8,}""")
+ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[\w-]{10,}|sk_(?:live|test)_\w{10,}|AIza[\w-]{30,})(?![A-Za-z0-9])")
+LOGIN, LOGIN_BYTES = re.compile(r"://[^\s/:@]{0,80}:(?P<value>[^\s/@]{6,})@"), re.compile(rb"://[^\s/:@]{0,320}:[^\s/@]{6,}@")
 #: author and authentic, which name a secret only where one is assigned to them
 WEAK = re.compile(r"(?i)auth(?:or(?!i[sz])|enti[cf](?!at))")
 DIRECT = re.compile(r"""[\w.-]{0,30}["']?\s{0,4}(?:=>|:=|=|:|\s)\s{0,4}["']?""")
-PARTS, URL_PARTS = re.compile(r"[?&](?=[\w.-]+=)"), re.compile(r"[?&/#:@]+")
+SURE = re.compile(r"""=|[:\s]\s*["']$""")
+PARTS, OPEN_PARTS, URL_PARTS = re.compile(r"[?&](?=[\w.-]+=)"), re.compile(r"[?&](?=[\w.-]+=)|#"), re.compile(r"[?&/#:@]+")
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----\s*(?P<value>[^-]{16,})")
 ASSIGNED = re.compile(r"(?P<name>[\w.$-]{0,80}?)(?P<by>=>|:=|=(?!=*$)|:(?!//))")
 TARGET = re.compile(r"""["'\])}]{0,3}\s{0,20}(?:=|:)""")
@@ -46,7 +57,7 @@ BUILT_IN = (
     "username password secret token access_token refresh_token client_secret client_id api_key authorization bearer header request response "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 00000000000000000000 xxxxxxxxxxxxxxxxxxxxxxxx ************************"
 )
-CONTEXT, WINDOW, SHORTEST, DICTIONARY_BYTES, NOVELTY = 256, 96, 16, 32_768, 0.6
+CONTEXT, WINDOW, SHORTEST, SHORT, DICTIONARY_BYTES, NOVELTY = 256, 96, 16, 8, 32_768, 0.6
 PART = re.compile(r"[\w.-]+")
 WORD = re.compile(r"[A-Za-z_][A-Za-z_.-]{2,39}")
 
@@ -65,6 +76,7 @@ def sensitive_rows(column: pa.Array) -> np.ndarray:
                 at = int(off[row + 1])  # one find a row is enough
             else:
                 at += 1
+    rows.update(int(np.searchsorted(off, m.start(), "right")) - 1 for m in LOGIN_BYTES.finditer(low))
     return np.array(sorted(rows), np.int64)
 
 
@@ -75,30 +87,38 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     The body of a private key block is one string, however long.
     """
     names = [(m.start(), m.end()) for m in NAME.finditer(text)]
-    if not names:
-        return []
     strong = [x for x in names if not WEAK.match(text, x[0])]
     out = [(m.start("value"), m.start("value") + len(m["value"].rstrip()), "private key") for m in PEM.finditer(text)]
+    out += [(*m.span("value"), "login") for m in LOGIN.finditer(text)]
+    out += [(*m.span(), "issued key") for m in ISSUED.finditer(text)]
+    blocks, out = sorted(out), []
+    for x in blocks:
+        if not out or out[-1][1] <= x[0]:
+            out.append(x)
     blocks = list(out)
-    for start, end in _strings(text):
-        if any(x < end and start < y for x, y, _ in blocks):
+    begins = [x for x, *_ in blocks]
+    for start, end in _strings(text) if names else ():
+        at = bisect.bisect_left(begins, end)
+        if any(start < y for _, y, _ in blocks[max(0, at - 2) : at]):
             continue
-        own = None
+        own, sure = None, False
         while cut := ASSIGNED.match(text, start, end):
             sensitive = NAME.search(cut["name"])
             if cut["by"] == ":" and not sensitive:
                 break
-            own = cut["name"] if sensitive else own
+            own, sure = (cut["name"], sure or "=" in cut["by"]) if sensitive else (own, sure)
             start = cut.end()
         end = start + len(text[start:end].rstrip(".!?:"))
-        if end - start < SHORTEST:
+        if end - start < (SHORTEST if own is not None and not sure else SHORT):
             continue
         if NAME.search(text, start, end) and (TARGET.match(text, end) or text[start:end].startswith("-----")):
             continue
         if own is None:
             b = bisect.bisect_right(names, (start, start)) - 1
-            direct = b >= 0 and DIRECT.fullmatch(text, names[b][1], start)
+            direct = DIRECT.fullmatch(text, names[b][1], start) if b >= 0 else None
             near = [names[b]] if direct else []
+            if end - start < SHORTEST and not (direct and SURE.search(direct[0])):
+                continue
             if not near:
                 b = bisect.bisect_right(strong, (start, start)) - 1
                 near += [x for x in strong[max(b, 0) : b + 1] if start - x[1] <= WINDOW]
@@ -112,17 +132,16 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
 
 
 def _strings(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of the strings: URLs and queries in their parts; outside of quotes and tags a string ends at #."""
+    """Spans of the strings: URLs and queries in their parts; outside of quotes and tags strings are parted at #."""
     for m in STRING.finditer(text):
         run, at = m.group(), m.start()
-        if "://" not in run and text[max(0, at - 1) : at] not in ("\"", "'", "`", ">"):
-            run = run.split("#", 1)[0]
+        quoted = text[max(0, at - 1) : at] in ("\"", "'", "`", ">")
         last = 0
-        for cut in (URL_PARTS if "://" in run else PARTS).finditer(run):
-            if cut.start() - last >= SHORTEST:
+        for cut in (URL_PARTS if "://" in run else PARTS if quoted else OPEN_PARTS).finditer(run):
+            if cut.start() - last >= SHORT:
                 yield at + last, at + cut.start()
             last = cut.end()
-        if len(run) - last >= SHORTEST:
+        if len(run) - last >= SHORT:
             yield at + last, at + len(run)
 
 
