@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES, BATCH_BYTES, TASK_BYTES = 2 << 20, 8 << 20, 64 << 20
 _BYTES, _DEFAULTS = "spark.sql.execution.arrow.maxBytesPerBatch", (str(64 << 20), str((1 << 31) - 1))
@@ -112,6 +113,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with doc_id as a long, and for ids of another type the table (name, id) of their numbers; rows without an id go."""
+    docs = docs.where("doc_id is not null")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return docs.withColumn("doc_id", F.col("doc_id").cast("long")), None
+    names = materialize(docs.select(F.col("doc_id").alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()), "names")
+    return docs.join(names, docs["doc_id"] == names["name"]).withColumn("doc_id", F.col("id")).drop("name", "id"), names
+
+
+def named(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """df with the columns' numbers turned into ids again."""
+    order = df.columns
+    for c in columns if names is not None else ():
+        df = df.withColumnRenamed(c, "__el_id").join(names, F.col("__el_id") == F.col("id")).withColumn(c, F.col("name")).select(*order)
+    return df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge list (a, b) of longs: rows (id, root), root the least id reached.
 

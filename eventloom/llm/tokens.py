@@ -5,8 +5,10 @@ an interval join over two sorted lists.  Sections are paragraphs, that is lines
 break.  A token that crosses a boundary goes, under rule "majority", to the section with most of its bytes (ties to
 the earlier), under "first" to the one it begins in; "split" counts for each section its share of the token.
 
-Defined cases: a null or empty text has no sections and no rows; a blank text is one
-section; repeated rows are counted each by itself.
+Defined cases: a null or empty text has no sections and no rows (encode() gives null ids for a null text, no ids for an empty one); a
+blank text is one section for each of its lines; very long texts are encoded whole; repeated rows are counted each by itself; of sections
+with equal shares of a token the earlier has it.  doc_id may be null or of any type; other columns, whatever their names, have no influence;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ a fifth of the sample kept out of training.
 Since all is linear up to the softmax, a trained model is one number a bucket, and documents are scored
 by one number for each distinct word.
 
-Defined cases: a null text, or one without words, has toxicity 0; texts are read whole; labels that are null, or
-that contradict each other for a doc_id, are not used; without both labels, all scores are 0.
+Defined cases: a null or empty text, or one without words, has toxicity 0; very long texts are read whole; a score that ties with
+the threshold is not toxic; of repeated rows each has its score, and of rows of one doc_id the first text in order trains, so SAMPLE is a bound.
+Labels that are null, or that contradict each other for a doc_id, are not used; without both labels, or with an empty table, all scores are 0.
+doc_id may be of any type; other columns, whatever their names, have no influence.
 """
 
 from __future__ import annotations
@@ -268,7 +270,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPL
     one = one.where("toxic = other").select("doc_id", "toxic")
     least = [one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y]) for y in (0, 1)]
     chosen = least[0].union(least[1])
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
+    texts = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return texts.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:

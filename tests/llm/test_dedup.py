@@ -165,6 +165,14 @@ def test_passages(spark, prose):
         assert len(set(a) & set(b)) >= 0.6 * len(set(a))
 
 
+def test_passages_with_other_ids(spark, prose):
+    shared, other = prose(60), prose(70)
+    rows = [("a", prose(30) + " " + shared), ("b", shared + " " + prose(20)), ("c", other), ("d", other), (None, other), ("e", prose(80))]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id string, text string, id int, name string")
+    got = {frozenset((r["doc_id"], r["other_id"])) for r in substring.near_passages(docs).collect()}
+    assert got == {frozenset("ab"), frozenset("cd")}
+
+
 def test_passages_of_stock_sentences(spark):
     rng = random.Random(11)
     unique = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
