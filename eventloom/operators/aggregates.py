@@ -68,8 +68,16 @@ def mode_by(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def duplicated(df: DataFrame, keys: Sequence[Column], member: str) -> DataFrame:
-    """Keys of several rows, how many, and the least member.  The members are a join away: no list is built."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(member).alias("first")).where("n > 1")
+    """Keys of several rows, how many, and the least member.  The members are a join away: no list is built.
+
+    Hashes of the keys are counted first, so that of long keys only those that repeat are grouped.
+    """
+    rows = df.select(*keys, member)
+    names = [c for c in rows.columns if c != member]
+    rows = rows.withColumns({"__el_h": F.xxhash64(*names), "__el_d": F.md5(F.to_json(F.struct(*names)))})
+    again = rows.groupBy("__el_h", "__el_d").count().where("count > 1").drop("count")
+    same = rows.join(again, ["__el_h", "__el_d"], "left_semi")
+    return same.groupBy(*names).agg(F.count("*").alias("n"), F.min(member).alias("first")).where("n > 1")
 
 
 def flag_counts(df: DataFrame, flags: Column) -> DataFrame:
@@ -109,3 +117,26 @@ def only_value(df: DataFrame, keys: Sequence[str], value: str) -> Column:
 def has_sibling(keys: Sequence[str], flag: Column) -> Column:
     """Whether any row of the group has the flag."""
     return F.max(F.coalesce(flag.cast("int"), F.lit(0))).over(Window.partitionBy(*keys)) == 1
+
+
+def month_changes(df: DataFrame, part: Sequence[str], ts: str, tie: str) -> DataFrame:
+    """df with month_change: whether the row's month is another than that of the row before it; the first row's is."""
+    w = Window.partitionBy(*part).orderBy(ts, tie)
+    month = F.date_format(ts, "yyyy-MM")
+    return df.withColumn("month_change", F.coalesce(month != F.lag(month).over(w), F.lit(True)))
+
+
+def most_mentioned(df: DataFrame, key: str, text_col: str, terms: Sequence[str]) -> DataFrame:
+    """Of each key the term that its texts mention most, with the count; ties to the term named first, none mentioned gives null."""
+    from ..functions import text
+
+    counts = F.array(*[F.struct(text.mention_counts(F.col(text_col), F.lit(t)).cast("long").alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("term")) for i, t in enumerate(terms)])
+    each = df.select(key, F.explode(counts).alias("x")).groupBy(key, "x.term", "x.i").agg(F.sum("x.n").alias("n"))
+    best = each.groupBy(key).agg(F.max(F.struct("n", "i", "term")).alias("m"))
+    return best.select(key, F.when(F.col("m.n") > 0, F.col("m.term")).alias("term"), F.col("m.n").alias("n"))
+
+
+def summed(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Sums of a count held as text with thousands separators; what is no number counts nothing."""
+    n = F.regexp_replace(F.col(value).cast("string"), ",", "").try_cast("long")
+    return df.groupBy(*keys).agg(F.coalesce(F.sum(n), F.lit(0)).alias(value))

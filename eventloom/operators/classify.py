@@ -194,3 +194,13 @@ def geocode_phrases(facility: Column, city: Column, state: Column, most_words: i
     fits = lambda q: (F.size(F.split(q, " ")) <= most_words) | q.rlike(noun)
     placed = lambda q: F.contains(q, F.lit(",")) | F.exists(F.array(*[F.lit(s) for s in STATES]), lambda s: F.contains(q, s))
     return F.filter(every, lambda q: fits(q) & placed(q))
+
+
+#: States by the party that carried them, as reports group them; those in neither set have no lean.
+RED = frozenset("WY WV UT TX TN SD SC OK OH ND NE NC MT MS MO LA KY KS IN IA ID FL AR AL AK".split())
+BLUE = frozenset("WI WA VT VA RI PA OR NY NV NM NJ NH MN MI ME MD MA IL HI GA DE DC CT CO CA AZ".split())
+
+
+def lean(state: Column) -> Column:
+    code = F.upper(F.trim(state))
+    return F.when(code.isin(*sorted(RED)), "red").when(code.isin(*sorted(BLUE)), "blue")

@@ -121,3 +121,42 @@ def same_incident(days_street: int = 14, days_other: int = 180) -> Column:
     shared = F.coalesce(F.arrays_overlap(a("urls"), b("urls")), F.lit(False))
     same_day = F.coalesce(a("died") == b("died"), F.lit(False))
     return shared | (same_day & (same_place | (a("death_context") == "detention") | one_unknown)) | (same_place & dates.within_days(a("died"), b("died"), width))
+
+
+def manual_point(df: DataFrame, place: str, points: DataFrame, unless: dict[str, str] | None = None) -> DataFrame:
+    """df with the point (lat, lon) of the first key of the table (position, key, lat, lon) that stands in the place as a word.
+
+    unless: of a key, a phrase that it does not stand for (mexico: new mexico).  status is manual, or null.
+    """
+    low = F.lower(F.col("__el_place"))
+    meant = F.regexp_like(low, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.lower("key"), F.lit(r"\E(?![\p{L}\p{N}_])")))
+    for key, phrase in (unless or {}).items():
+        meant = meant & ~((F.lower("key") == key) & F.contains(low, F.lit(phrase)))
+    asked = df.select(F.col(place).alias("__el_place")).distinct()
+    best = asked.join(points, meant).groupBy("__el_place").agg(F.min_by(F.struct("lat", "lon"), "position").alias("__el_p"))
+    out = df.join(best, df[place] == best["__el_place"], "left").drop("__el_place")
+    return out.withColumns({"lat": F.col("__el_p.lat"), "lon": F.col("__el_p.lon"), "status": F.when(F.col("__el_p").isNotNull(), "manual")}).drop("__el_p")
+
+
+def by_either_key(rows: DataFrame, key: str, table: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str]) -> DataFrame:
+    """Fields of the first row of the table, in order, that has the key in any of its key columns; null where none has."""
+    each = table.select(F.explode(F.array_compact(F.array(*[F.nullif(F.col(k), F.lit("")) for k in keys]))).alias("__el_k"), order, *fields)
+    first = each.groupBy("__el_k").agg(F.min_by(F.struct(*fields), order).alias("__el_r"))
+    return rows.join(first, rows[key] == first["__el_k"], "left").select(*[rows[c] for c in rows.columns], *[F.col(f"__el_r.{f}").alias(f) for f in fields])
+
+
+def by_first_key(rows: DataFrame, keys: Sequence[str], table: DataFrame, value: str, order: str) -> DataFrame:
+    """The value of the table by the first of the rows' keys that finds one; the table has the same key columns."""
+    out, tries = rows, []
+    for i, k in enumerate(keys):
+        first = table.where(F.col(value).isNotNull() & F.col(k).isNotNull()).groupBy(F.col(k).alias(f"__el_k{i}")).agg(F.min_by(value, order).alias(f"__el_v{i}"))
+        out = out.join(first, F.col(k) == F.col(f"__el_k{i}"), "left")
+        tries.append(F.col(f"__el_v{i}"))
+    return out.select(*rows.columns, F.coalesce(*tries).alias(value))
+
+
+def city_states(rows: DataFrame, city: str, gazetteer: DataFrame) -> DataFrame:
+    """A row for each state that the gazetteer (city, states) has for the row's city, without case; one with a null state where it has none."""
+    g = gazetteer.select(F.col("city").alias("__el_city"), F.col("states").alias("__el_states"))
+    out = rows.join(g, F.lower(F.trim(rows[city])) == F.col("__el_city"), "left")
+    return out.select(*rows.columns, F.explode_outer("__el_states").alias("state"))

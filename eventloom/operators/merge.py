@@ -92,3 +92,12 @@ def union_sorted(a: Column, b: Column) -> Column:
 
 def has_all(have: Column, required: Sequence[str]) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(x) for x in required]), have)) == 0
+
+
+def fill_unknown(old: DataFrame, new: DataFrame, key: str, unknown: Sequence[str] = ("", "unknown")) -> DataFrame:
+    """Known rows only, with their null, blank or unknown values taken from the new table where that knows them."""
+    values = [c for c in old.columns if c != key]
+    n = new.groupBy(F.col(key).alias("__el_key")).agg(*[F.first(c, ignorenulls=True).alias(f"__el_{c}") for c in values])
+    known = lambda c: F.when(~F.lower(F.trim(F.col(c).cast("string"))).isin(*unknown), F.col(c))
+    out = old.join(n, old[key] == n["__el_key"], "left")
+    return out.select(key, *[F.coalesce(known(c), known(f"__el_{c}"), F.col(c)).alias(c) for c in values])

@@ -75,3 +75,55 @@ def quality_gate(df: DataFrame, required: Sequence[str], warn: float = 0.20, fai
     rate = F.when(F.col("n") > 0, F.round(F.col("unknown") / F.col("n"), 6)).otherwise(F.lit(0.0))
     out = long.select(F.col("x.field").alias("field"), F.col("n").alias("rows"), F.col("x.unknown").alias("unknown")).withColumn("n", F.col("rows"))
     return out.withColumn("rate", rate).withColumn("verdict", F.when(F.col("rate") > fail, "fail").when(F.col("rate") > warn, "warn").otherwise("ok")).drop("n")
+
+
+def by_date_then_name(df: DataFrame, date: str, name: str) -> DataFrame:
+    """Newest date first, then name; a missing one counts as empty."""
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return df.orderBy(text_of(date).desc(), text_of(name))
+
+
+def by_place(df: DataFrame, state: str, city: str, name: str) -> DataFrame:
+    return df.orderBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (state, city, name)])
+
+
+def stories_sorted(groups: DataFrame, option: str, ts: str, items: str, tie: str) -> DataFrame:
+    """Story groups by option: newest (missing moments last), oldest (missing first) or coverage (most items first)."""
+    if option not in ("newest", "oldest", "coverage"):
+        raise ValueError("option is newest, oldest or coverage")
+    order = {"newest": F.col(ts).desc_nulls_last(), "oldest": F.col(ts).asc_nulls_first(), "coverage": F.desc(items)}[option]
+    return groups.orderBy(order, tie)
+
+
+def page_of(df: DataFrame, order: Sequence[Column | str], page: int, size: int) -> DataFrame:
+    """Page number `page`, from 0, of rows in order."""
+    return df.orderBy(*order).offset(page * size).limit(size)
+
+
+def longest_texts(df: DataFrame, text_col: str, tie: str, n: int) -> DataFrame:
+    """The n longest texts, and the first one that is empty or null."""
+    size = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    longest = df.orderBy(size.desc(), tie).limit(n).withColumn("sample", F.lit("longest"))
+    empty = df.where(size == 0).orderBy(tie).limit(1).withColumn("sample", F.lit("empty"))
+    return longest.unionByName(empty)
+
+
+def first_distinct(df: DataFrame, key: str, order: Sequence[str], cap: int) -> DataFrame:
+    """The first `cap` distinct keys over all pages in order, each with the row that it came in first."""
+    from . import aggregates
+
+    return aggregates.first_per_key(df, [key], *order).orderBy(*order).limit(cap)
+
+
+def latest_run(df: DataFrame, run: str, ts: str) -> DataFrame:
+    """Rows of the run whose last moment is the latest."""
+    last = df.groupBy(run).agg(F.max(ts).alias("__el_t")).orderBy(F.desc("__el_t"), run).limit(1)
+    return df.join(last.select(run), run, "left_semi")
+
+
+def unlike(df: DataFrame, patterns: dict[str, str], where: Column) -> DataFrame:
+    """Delete rows of which every column is like its pattern and the condition holds."""
+    hit = where
+    for c, p in patterns.items():
+        hit = hit & F.col(c).like(p)
+    return df.where(~F.coalesce(hit, F.lit(False)))

@@ -97,11 +97,6 @@ def delete_bare_verbs(spark, sf_dir):
     return S.without_values(t(spark, sf_dir, "events"), "event_type", ["error", "signup"]).select("event_id", "event_type")
 
 
-@query("SELECT event_id FROM events WHERE NOT (event_type LIKE 'pur%' AND user_id < 50)")
-def like_delete(spark, sf_dir):
-    return t(spark, sf_dir, "events").where(~(F.col("event_type").like("pur%") & (F.col("user_id") < 50))).select("event_id")
-
-
 @query("SELECT s_suppkey FROM supplier WHERE contains(lower(s_name), '#00000001') OR contains(CAST(s_suppkey AS VARCHAR), '42')")
 def record_search(spark, sf_dir):
     s = t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -119,11 +114,6 @@ def quality_gate(spark, sf_dir):
     return S.quality_gate(d, ["quality", "lang"])
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 24 OFFSET 24")
-def sort_page(spark, sf_dir):
-    return t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(24).limit(24)
-
-
 @query("SELECT c_custkey, c_acctbal BETWEEN 18 AND 72 AND c_nationkey BETWEEN -179 AND 20 AS inside FROM customer")
 def bounds_check(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", geo.in_bbox(F.col("c_acctbal"), F.col("c_nationkey"), (-179, 18, 20, 72)).alias("inside"))
@@ -144,16 +134,14 @@ def facet_values(spark, sf_dir):
 
 
 @query(
-    "SELECT o_orderkey AS story, min_by(l_returnflag, l_linenumber) AS l_returnflag, min_by(l_linestatus, l_linenumber) AS l_linestatus, "
-    "strftime(max(l_shipdate), '%Y-%m-%d') AS newest, count(*) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey "
-    "WHERE l_linenumber IS NOT NULL GROUP BY o_orderkey HAVING count(*) = count(DISTINCT l_linenumber)"
+    "SELECT o_orderkey AS story, arg_min(l_returnflag, o) AS l_returnflag, arg_min(l_linestatus, o) AS l_linestatus, strftime(max(l_shipdate), '%Y-%m-%d') AS newest, count(*) AS items "
+    "FROM (SELECT *, (l_linenumber, l_partkey, l_returnflag, l_linestatus) AS o FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY o_orderkey"
 )
 def story_group(spark, sf_dir):
     o = t(spark, sf_dir, "orders").select("o_orderkey")
-    items = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
+    items = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_shipdate", F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").alias("place"))
     joined = o.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
-    clean = joined.groupBy("o_orderkey").agg(F.count("*").alias("a"), F.count_distinct("l_linenumber").alias("b")).where("a = b").select("o_orderkey")
-    s = A.stories(joined.join(clean, "o_orderkey", "left_semi"), F.col("o_orderkey"), "l_linenumber", ["l_returnflag", "l_linestatus"], "l_shipdate")
+    s = A.stories(joined, F.col("o_orderkey"), "place", ["l_returnflag", "l_linestatus"], "l_shipdate")
     return s.select("story", "l_returnflag", "l_linestatus", F.date_format("newest", "yyyy-MM-dd").alias("newest"), "items")
 
 
@@ -213,22 +201,12 @@ def missing_hosts_anti(spark, sf_dir):
     return p.select("host").distinct().join(p.where("page_id % 2 = 0").select("host"), "host", "left_anti")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS total FROM events")
-def map_value_sum(spark, sf_dir):
-    return t(spark, sf_dir, "events").select("event_id", structured.map_total(F.col("props")).alias("total"))
-
-
 @query("SELECT 'type:' || event_type AS flag, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'high', count(*) FROM events WHERE value > 50")
 def flag_counts(spark, sf_dir):
     flags = F.array_compact(F.array(F.concat(F.lit("type:"), "event_type"), F.when(F.col("value") > 50, "high")))
     return A.flag_counts(t(spark, sf_dir, "events"), flags)
 
 
-@query("SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2")
-def monthly_sum(spark, sf_dir):
-    return t(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT strftime(w.week, '%Y-%m-%d') AS week, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-02-12', INTERVAL 7 DAY)) AS week) w LEFT JOIN (SELECT date_trunc('week', ts) AS week, count(*) AS n FROM events GROUP BY 1) e ON e.week = w.week")
 def week_spine(spark, sf_dir):
     weeks = t(spark, sf_dir, "events").groupBy(dates.week_start(F.col("ts")).alias("week")).agg(F.count("*").alias("n"))
@@ -486,8 +464,6 @@ _docs("sentence_top5", lambda c: text.first_sentences(c, 5), r"array_to_string(l
 _docs("snippet", lambda c: text.snippet(c, F.greatest(F.instr(c, "the"), F.lit(1)), 40), "substr(text, greatest(1, greatest(instr(text, 'the'), 1) - 40), greatest(instr(text, 'the'), 1) + 40 - greatest(1, greatest(instr(text, 'the'), 1) - 40))")
 _docs("ascii_safe", lambda c: text.ascii_only(F.left(c, F.lit(60))), r"regexp_replace(left(text, 60), '[^\x00-\x7F]', '?', 'g')")
 _docs("match_text", lambda c: text.match_text(F.left(c, F.lit(120))), "trim(regexp_replace(lower(left(text, 120)), '[^a-z0-9]+', ' ', 'g'))")
-_docs("strip_related", lambda c: F.length(text.squeeze(structured.before_related(c))).cast("long"), r"length(trim(regexp_replace(regexp_replace(text, '(?is)\b(?:more from|read more|recommended for you|related articles|related stories|trending now)\b.*$', ''), '\s+', ' ', 'g')))")
-_docs("byte_snippet", lambda c: F.octet_length(text.byte_snippet(c, 64)) <= 64, "true")
 _docs("keyword_relevance", lambda c: C.relevant(c, ["the", "und", "que"], ["The"], 2, None), r"(CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'und') AS INT) + CAST(contains(lower(text), 'que') AS INT) + CAST(regexp_matches(text, '(?:^|[^\p{L}\p{N}])The(?:[^\p{L}\p{N}]|$)') AS INT)) >= 2")
 _docs("event_types", lambda c: F.array_join(text.labels(c, [("en", r"(?i)(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)"), ("de", r"(?i)(?:^|[^\p{L}\p{N}])und(?:[^\p{L}\p{N}]|$)"), ("es", r"(?i)(?:^|[^\p{L}\p{N}])los(?:[^\p{L}\p{N}]|$)")]), ","), r"concat_ws(',', CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)') THEN 'en' END, CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}])und(?:[^\p{L}\p{N}]|$)') THEN 'de' END, CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}])los(?:[^\p{L}\p{N}]|$)') THEN 'es' END)")
 _docs("ladder_class", lambda c: text.ladder(c, [("de", r"(?i)(?:^|[^\p{L}\p{N}])und(?:[^\p{L}\p{N}]|$)"), ("en", r"(?i)(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)")], "other"), r"CASE WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}])und(?:[^\p{L}\p{N}]|$)') THEN 'de' WHEN regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}])the(?:[^\p{L}\p{N}]|$)') THEN 'en' ELSE 'other' END")
@@ -512,7 +488,6 @@ def _customers(name: str, expr: Callable[[], Column], sql: str) -> None:
 
 _customers("initcap_name", lambda: text.display_name(F.concat(F.lower("c_mktsegment"), F.lit(", JOHN"))), "'John ' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2))")
 _customers("canonical_name", lambda: text.canonical_name(F.concat(F.lit("José-"), "c_mktsegment", F.lit(" O'Neil"))), "'jose ' || lower(c_mktsegment) || ' o neil'")
-_customers("first_last_name", lambda: text.first_last_name(F.concat(F.lit("Ann "), "c_mktsegment", F.lit(" Doe"))), "'ann doe'")
 _NS = "unhex('31f4a5a32f5f4e6f98b81e857de534d6')"
 _customers(
     "uuid5_id",
@@ -565,11 +540,6 @@ _pages("main_content", lambda: F.md5(structured.main_content(F.col("html"))), _T
 _pages("link_extract", lambda: F.size(structured.links(F.col("html"))).cast("long"), "CAST(len(list_distinct(regexp_extract_all(html, '(?is)<a\\b[^>]*href\\s*=.*?</a>'))) AS BIGINT)")
 
 
-@query("SELECT event_id, props AS x FROM events")
-def json_tolerant_list(spark, sf_dir):
-    return t(spark, sf_dir, "events").select("event_id", F.array_join(structured.string_list(F.col("props")), ",").alias("x"))
-
-
 # no SQL: rows and unit tests
 
 
@@ -594,3 +564,6 @@ def extract_rule_based(spark, sf_dir):
 
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("story_id"), "text")
     return extract.triplets(d, "story_id", "text")
+
+
+from . import queries_more as _more  # noqa: E402, F401  registers its queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,11 +37,29 @@ def triplets(spark: SparkSession, path: Paths) -> DataFrame:
     return df.withColumn("event_types", structured.string_list(F.col("event_types")))
 
 
-def newest_file(spark: SparkSession, path: Paths, schema: str) -> DataFrame:
-    """Rows of the file whose name sorts last."""
-    df = json_lines(spark, path, schema).select("*", F.col("_metadata.file_name").alias("__el_f"))
-    last = df.agg(F.max("__el_f").alias("__el_l"))
-    return df.join(last, F.col("__el_f") == F.col("__el_l"), "left_semi").drop("__el_f")
+def matching_files(spark: SparkSession, path: str) -> list[str]:
+    """Files that a path or glob names, in order of name; a folder's are those in it.  Nothing is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(where) or ():
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else (status,)
+        found += [s.getPath() for s in inside if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    return [p.toString() for p in sorted(found, key=lambda p: (p.getName(), p.toString()))]
+
+
+def newest_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of the file whose name sorts last; the others are listed only."""
+    files = matching_files(spark, path)
+    return json_lines(spark, files[-1:], schema) if files else spark.createDataFrame([], schema)
+
+
+def dated_files(spark: SparkSession, path: str, schema: str, first: str, last: str) -> DataFrame:
+    """Rows of the files whose names hold a date (yyyy-mm-dd or yyyymmdd) from first to last; no others are read."""
+    day = re.compile(r"(20\d\d)-?([01]\d)-?([0-3]\d)")
+    dates = [(m and "-".join(m.groups()), f) for f in matching_files(spark, path) for m in [day.search(f.rpartition("/")[2])]]
+    files = [f for d, f in dates if d and first <= d <= last]
+    return json_lines(spark, files, schema) if files else spark.createDataFrame([], schema)
 
 
 def facilities(spark: SparkSession, path: Paths) -> DataFrame:
