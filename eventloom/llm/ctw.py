@@ -2,35 +2,36 @@
 
 A byte is eight binary decisions.  Each has a context tree over the preceding DEPTH bytes; a
 node's Krichevsky-Trofimov estimate is mixed, half and half, with the product of its children's
-mixtures, at all depths.  The corpus enters as counts of (context, byte), gathered from all documents and
-summed by a shuffle; trees are weighted apart for each last context byte, the root joins them.
-A document's score is its code length in bits for each byte under the trees of the whole corpus.
-
-The finished trees are a table of code lengths, a row for each context that occurs; it is bounded by
-256**DEPTH rows whatever the corpus, is kept in the shared folder and is read by each worker,
-at most SHARD_CONTEXTS rows at a time (1 KB each): a larger model is scored shard by shard and summed.
-
-Defined cases: a null or empty text has no bytes and a null score; before a text's first byte
-stand zero bytes; repeated rows have a row each.
+mixtures, at all depths.  A document's score is its code length in bits for each byte.  score_corpus() takes each byte out of the counts
+before it is coded: KT estimates don't depend on order, so this is what the trees of all other bytes of the corpus would say of it, and a text that
+stands once in the corpus does not explain itself.  score() codes other documents under the trees of a corpus.
+
+A code length depends on a byte and its DEPTH predecessors only, so each distinct string of DEPTH + 1 bytes (a gram) is weighed once.
+Documents are dealt by hash into chunks of about CHUNK_BYTES, of each of which the grams and their counts are gathered; what is
+gathered grows with the corpus.  Grams then meet by their last two context bytes, in as many parts as the corpus asks for: a part has whole subtrees,
+which are weighed level by level with numpy.  Only sums for each last byte (256 rows at most) go through the driver, for the two top levels.
+The code lengths of a chunk's grams go back to the chunk, which scores its documents.  No table of all grams is held anywhere, and every text is
+read twice, whatever the number of parts.
+
+Defined cases: a null or empty text has no bytes and a null score, and counts nothing; before a text's first byte
+stand zero bytes; very long texts are read whole; repeated rows have a row each and count each.  doc_id may be null, repeated or of any type; other
+columns, whatever their names, have no influence; equal texts have equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
-import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
 
-DEPTH = 3
-SHARD_CONTEXTS = 300_000
-COUNT_BYTES = 4 << 20
+DEPTH, CHUNK_BYTES, PART_BYTES, COUNT_BYTES = 5, 32 << 20, 16 << 20, 4 << 20
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -61,75 +62,6 @@ def bit_counts(counts: np.ndarray) -> np.ndarray:
     return np.concatenate(parts, axis=-2)
 
 
-def byte_bits(ones: np.ndarray) -> np.ndarray:
-    """[..., 255] probabilities of a one to [..., 256] code lengths in bits."""
-    total = np.zeros((*ones.shape[:-1], 256))
-    byte = np.arange(256)
-    for k in range(8):
-        node = (1 << k) - 1 + (byte >> (8 - k))
-        p = ones[..., node]
-        total -= np.log2(np.where(byte >> (7 - k) & 1, p, 1 - p))
-    return total
-
-
-def mixed(weight: np.ndarray, own: np.ndarray, below: np.ndarray) -> np.ndarray:
-    w = 1 / (1 + np.exp(-np.clip(weight, -700, 700)))
-    return w * own + (1 - w) * below
-
-
-def kt_one(n: np.ndarray) -> np.ndarray:
-    return (n[..., 1] + 0.5) / (n.sum(-1) + 1)
-
-
-def subtree(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The trees below one last byte.
-
-    ctx: preceding bytes, the last one highest.  Returns contexts, the number of bytes that each fixes, the
-    probabilities of ones after mixing at all depths from 1, and log Pw of the depth-1 node.
-    A context that fixes fewer than depth bytes stands for unseen ones below it.
-    """
-    order = np.argsort(ctx, kind="stable")
-    ctx, byte, n = ctx[order], byte[order], n[order]
-    keys, fixed, ones = [], [], []
-
-    def node(lo: int, hi: int, d: int) -> np.ndarray:
-        """log Pw of the node with d bytes fixed over rows [lo, hi); mixes it into all that is kept below it."""
-        total = bit_counts(np.bincount(byte[lo:hi], weights=n[lo:hi], minlength=256))
-        own = kt_log(total)
-        shift = 8 * (depth - d)
-        at = len(keys)
-        if d == depth:
-            log_pw = own
-            mine = kt_one(total)
-        else:
-            child = ctx[lo:hi] >> (shift - 8)
-            cut = np.flatnonzero(np.diff(child, prepend=-1)) + lo
-            ends = np.append(cut[1:], hi)
-            if d == depth - 1:
-                dense = np.zeros((len(cut), 256))
-                np.add.at(dense, (np.searchsorted(cut, np.arange(lo, hi), "right") - 1, byte[lo:hi]), n[lo:hi])
-                c = bit_counts(dense)
-                below = kt_log(c).sum(0)
-                keys.append(ctx[cut])
-                fixed.append(np.full(len(cut), depth))
-                ones.append(kt_one(c).astype(np.float32))
-            else:
-                below = sum((node(x, y, d + 1) for x, y in zip(cut, ends)), np.zeros(255))
-            weight = own - below
-            log_pw = np.logaddexp(own, below) - math.log(2)
-            for i in range(at, len(ones)):
-                ones[i] = mixed(weight, kt_one(total), ones[i]).astype(np.float32)
-            mine = mixed(weight, kt_one(total), 0.5)
-        if d < depth or depth == 1:
-            keys.append(np.array([ctx[lo] >> shift << shift]))
-            fixed.append(np.array([d]))
-            ones.append(mine[None].astype(np.float32))
-        return log_pw
-
-    log_pw = node(0, len(ctx), 1)
-    return np.concatenate(keys), np.concatenate(fixed), np.concatenate(ones), log_pw
-
-
 def contexts(buf: np.ndarray, off: np.ndarray, depth: int = DEPTH, kind: type = np.int64) -> np.ndarray:
     """Of each byte the preceding depth bytes, the last one highest; zeros before a document's start."""
     out = np.zeros(len(buf), kind)
@@ -144,130 +76,249 @@ def contexts(buf: np.ndarray, off: np.ndarray, depth: int = DEPTH, kind: type =
     return out
 
 
-def count(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(last, ctx, byte, n) over all documents."""
+def packed(x: np.ndarray) -> bytes:
+    """Bytes of an array, those of one place in the numbers together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
-    small = np.uint32
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.chunks(batches, COUNT_BYTES):
-            buf, off = K.text_bytes(b.column(0))
-            gram, n = np.unique(contexts(buf, off, depth, small if depth <= 3 else np.int64) << 8 | buf, return_counts=True)
-            yield pa.record_batch([pa.array(gram.astype(np.int64)), pa.array(n)], ["gram", "n"])
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-    grams = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    ctx = F.shiftright("gram", 8)
-    return grams.select(F.shiftright(ctx, 8 * (depth - 1)).cast("int").alias("last"), ctx.alias("ctx"), F.col("gram").bitwiseAND(255).cast("int").alias("byte"), "n")
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[first], np.add.reduceat(n[order], first) if len(keys) else n
 
-def train(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The finished trees, written to the shared folder: (shard, ctx, fixed, bits), bits 256 float32 code lengths."""
-    schema = "last int, ctx long, fixed int, ones binary, log_pw binary, n binary"
-
-    def grow(table: pa.Table) -> pa.Table:
-        ctx, byte, n = (table[c].to_numpy() for c in ("ctx", "byte", "n"))
-        keys, fixed, ones, log_pw = subtree(ctx, byte, n, depth)
-        total = np.bincount(byte, weights=n, minlength=256)
-        rows = [p.astype(np.float32).tobytes() for p in ones]
-        first = lambda x: pa.array([x.tobytes()] + [None] * (len(keys) - 1), pa.binary())
-        last = pa.array(np.full(len(keys), table["last"][0].as_py()), pa.int32())
-        return pa.table([last, pa.array(keys), pa.array(fixed, pa.int32()), pa.array(rows, pa.binary()), first(log_pw), first(total)], ["last", "ctx", "fixed", "ones", "log_pw", "n"])
-
-    trees = K.materialize(count(docs, depth).groupBy("last").applyInArrow(grow, schema), "ctw-trees")
-    tops = trees.where("n is not null").select("log_pw", "n").collect()  # 256 rows at most
-    total = sum((np.frombuffer(r["n"]) for r in tops), np.zeros(256))
-    root = bit_counts(total)
-    weight = kt_log(root) - sum((np.frombuffer(r["log_pw"]) for r in tops), np.zeros(255))
-    own = kt_one(root)
-    shards = max(1, -(-trees.count() // SHARD_CONTEXTS))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                c = b.slice(at, 4096)
-                ones = np.stack([np.frombuffer(x, np.float32) for x in c.column(2).to_pylist()]).astype(np.float64)
-                bits = byte_bits(mixed(weight, own, ones)).astype(np.float32)
-                shard = c.column(0).to_numpy() % shards
-                yield pa.record_batch([pa.array(shard, pa.int32()), c.column(0), c.column(1), pa.array([x.tobytes() for x in bits], pa.binary())], ["shard", "ctx", "fixed", "bits"])
-
-    done = trees.select("ctx", "fixed", "ones").mapInArrow(finish, "shard int, ctx long, fixed int, bits binary")
-    if shards > 1:  # contexts that stand for unseen ones go to every shard
-        each = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-        done = done.where(F.col("fixed") == depth).unionByName(done.where(F.col("fixed") < depth).drop("shard").crossJoin(F.broadcast(each)))
-    default = byte_bits(mixed(weight, own, np.full(255, 0.5))).astype(np.float32)
-    spare = docs.sparkSession.createDataFrame([(s, 0, 0, bytearray(default.tobytes())) for s in range(shards)], "shard int, ctx long, fixed int, bits binary")
-    model = K.materialize(done.unionByName(spare), "ctw")
-    K.drop_materialized(trees)
-    return model
-
-
-_loaded: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def load(files: list[str], shard: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index of all contexts into the rows of code lengths; cached for the worker's life, one shard at a time."""
-    key = (files[0], shard)
-    if key not in _loaded:
-        _loaded.clear()
-        fs = pyarrow.fs.FileSystem.from_uri(files[0])[0]
-        paths = [pyarrow.fs.FileSystem.from_uri(f)[1] for f in files]
-        t = ds.dataset(paths, filesystem=fs, format="parquet").to_table(columns=["ctx", "fixed", "bits"], filter=ds.field("shard") == shard)
-        fixed, ctx = t["fixed"].to_numpy(), t["ctx"].to_numpy()
-        rows = np.frombuffer(b"".join(x for c in t["bits"].chunks for x in c.to_pylist()), np.float32).reshape(-1, 256)
-        index = np.zeros(256**depth, np.int32)
-        for d in range(depth + 1):
-            at = np.flatnonzero(fixed == d)
-            width = 256 ** (depth - d)
-            if d == depth:
-                index[ctx[at]] = at
+
+def encoded(buf: np.ndarray, off: np.ndarray, depth: int) -> pa.DictionaryArray:
+    """The gram of each byte."""
+    return pa.array(contexts(buf, off, depth) << 8 | buf).dictionary_encode()
+
+
+def grams(texts: Iterable[pa.RecordBatch], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of the texts in order, and their counts."""
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in K.chunks(iter(texts), COUNT_BYTES):
+        d = encoded(*K.text_bytes(b.column(b.schema.get_field_index("text"))), depth)
+        keys.append(d.dictionary.to_numpy())
+        counts.append(np.bincount(d.indices.to_numpy(), minlength=len(keys[-1])))
+    return summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def _nodes(key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each node of the k-th decision, and each row's node; rows are in order of context, then byte."""
+    new = np.diff(key >> (8 - k), prepend=-1) != 0
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def weigh(gram: np.ndarray, n: np.ndarray, depth: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The subtrees below two context bytes, of all grams that end in them, in order.
+
+    Returns the probability of each gram's eight decisions [8, grams] after mixing at the depths from 2 on; and of depth 2 the rows
+    (context and byte), their counts, and log Pw of the nodes of each decision.
+    """
+    levels = [(gram, n.astype(np.float64), None)]
+    while len(levels) < depth - 1:
+        key, count, _ = levels[-1]
+        up_key, up = np.unique(key >> 16 << 8 | key & 255, return_inverse=True)
+        levels.append((up_key, np.bincount(up, weights=count), up))
+    probability, tops = np.empty((8, len(gram))), []
+    for k in range(8):
+        one = (gram >> (7 - k) & 1).astype(bool)
+        path = np.arange(len(gram))
+        r = log_pw = first = None
+        for key, count, up in levels:
+            below_first = first
+            first, node = _nodes(key, k)
+            ones = np.add.reduceat(count * (key >> (7 - k) & 1), first)
+            total = np.add.reduceat(count, first)
+            own = kt_log(np.stack([total - ones, ones], -1))
+            if up is not None:
+                path = up[path]
+                below = np.bincount(node[up[below_first]], weights=log_pw, minlength=len(first))
+                weight = 1 / (1 + np.exp(-np.clip(own - below, -700, 700)))
+                log_pw = np.logaddexp(own, below) - math.log(2)
             else:
-                for i in at:
-                    index[ctx[i] : ctx[i] + width] = i
-        _loaded[key] = (index, rows)
-    return _loaded[key]
+                log_pw = own
+            at = node[path]
+            mine = np.where(one, ones[at], total[at] - ones[at])
+            a = (mine - 0.5) / total[at] if leave_out else (mine + 0.5) / (total[at] + 1)
+            r = a if up is None else mixed(weight[at], a, r, leave_out)
+        probability[k] = r
+        tops.append(log_pw)
+    return probability, *levels[-1][:2], tops
+
+
+def mixed(w: np.ndarray, own: np.ndarray, below: np.ndarray, leave_out: bool) -> np.ndarray:
+    """The node's probability from its own estimate and that of the node below it.
+
+    w is the weight with all bytes counted: to take the byte out, its probabilities divide what they were a part of.
+    """
+    return 1 / (w / own + (1 - w) / below) if leave_out else w * own + (1 - w) * below
+
+
+def _top_sums(key: np.ndarray, n: np.ndarray, tops: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(last bytes, counts [, 256], sums of log Pw [, 255]) of the rows of depth 2."""
+    last, inverse = np.unique(key >> 16, return_inverse=True)
+    counts, below = np.zeros((len(last), 256)), np.zeros((len(last), 255))
+    np.add.at(counts, (inverse, key & 255), n)
+    for k, log_pw in enumerate(tops):
+        first, _ = _nodes(key, k)
+        np.add.at(below, (inverse[first], (1 << k) - 1 + ((key[first] & 255) >> (8 - k))), log_pw)
+    return last, counts, below
+
+
+class Top:
+    """The nodes of depth 0 and 1: counts and weights, by last byte and node."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray]]):
+        counts, below = np.zeros((256, 256)), np.zeros((256, 255))
+        for last, c, b in rows:
+            counts[last], below[last] = c, b
+        self.counts = [bit_counts(counts.sum(0))[None], bit_counts(counts)]
+        own = kt_log(self.counts[1])
+        root = kt_log(self.counts[0][0]) - (np.logaddexp(own, below) - math.log(2))[counts.any(1)].sum(0)
+        self.weights = [1 / (1 + np.exp(-np.clip(x, -700, 700))) for x in (root[None], own - below)]
+
+    def code_lengths(self, gram: np.ndarray, probability: np.ndarray, depth: int, leave_out: bool) -> np.ndarray:
+        """Bits of each gram's last byte, from its decisions' probabilities at depth 2."""
+        byte, last = gram & 255, gram >> (8 * depth)
+        bits = np.zeros(len(gram))
+        for k in range(8):
+            node, one = (1 << k) - 1 + (byte >> (8 - k)), byte >> (7 - k) & 1
+            p = probability[k]
+            for d, row in ((1, last), (0, np.zeros_like(last))):
+                mine, total = self.counts[d][row, node, one], self.counts[d][row, node].sum(-1)
+                a = (mine - 0.5) / total if leave_out else (mine + 0.5) / (total + 1)
+                p = mixed(self.weights[d][row, node], a, p, leave_out)
+            bits -= np.log2(p)
+        return bits
+
+
+# Spark side
+
+
+def _pieces(docs: DataFrame, size: int, each: int) -> int:
+    """How many pieces of about `each` bytes; of a small corpus one for each core."""
+    return max(1, -(-size // each), min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20))
+
+
+def _chunked(docs: DataFrame, size: int) -> DataFrame:
+    return docs.withColumn("__el_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(_pieces(docs, size, CHUNK_BYTES))).cast("int"))
+
+
+def _size(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def gather(chunked: DataFrame, parts: int, depth: int) -> DataFrame:
+    """Grams of each chunk by part: (chunk, part, grams, n), packed."""
+
+    def run(table: pa.Table) -> pa.Table:
+        gram, n = grams(table.to_batches(), depth)
+        part = (K.mix((gram >> (8 * (depth - 1))).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, cut = np.unique(part[order], return_index=True)
+        spans = [order[a:b] for a, b in zip(cut, [*cut[1:], len(order)])]
+        return pa.table(
+            {
+                "chunk": pa.array([table["__el_chunk"][0].as_py()] * len(part), pa.int32()),
+                "part": pa.array(part, pa.int32()),
+                "grams": pa.array([packed(np.diff(gram[i], prepend=0)) for i in spans], pa.binary()),
+                "n": pa.array([packed(n[i].astype(np.uint32)) for i in spans], pa.binary()),
+            }
+        )
+
+    texts = chunked.where("text <> ''").select("__el_chunk", "text")
+    return texts.groupBy("__el_chunk").applyInArrow(run, "chunk int, part int, grams binary, n binary")
+
+
+def train(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The grams of a corpus, written to the shared folder: (chunk, part, grams, n, parts)."""
+    docs = docs.select("doc_id", "text")
+    size = _size(docs)
+    parts = _pieces(docs, size, PART_BYTES)
+    return K.materialize(gather(_chunked(docs, size), parts, depth).withColumn("parts", F.lit(parts)), "ctw-grams")
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Grams of a part and their counts over all chunks; and the grams of each row."""
+    each = [np.cumsum(unpacked(x, np.int64)) for x in table["grams"].to_pylist()]
+    n = [unpacked(x, np.uint32).astype(np.int64) if x is not None else np.zeros(len(g), np.int64) for x, g in zip(table["n"].to_pylist(), each)]
+    return *summed(np.concatenate(each), np.concatenate(n)), each
+
+
+def _top(counted: DataFrame, depth: int) -> Top:
+    def sums(table: pa.Table) -> pa.Table:
+        gram, n, _ = _merged(table)
+        last, counts, below = _top_sums(*weigh(gram, n, depth, False)[1:])
+        return pa.table({"last": pa.array(last, pa.int32()), "counts": pa.array([x.tobytes() for x in counts], pa.binary()), "below": pa.array([x.tobytes() for x in below], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = [sum(np.frombuffer(x) for x in table[c].to_pylist()).tobytes() for c in ("counts", "below")]
+        return pa.table({"last": table["last"][:1].cast(pa.int32()), "counts": pa.array(total[:1], pa.binary()), "below": pa.array(total[1:], pa.binary())})
+
+    schema = "last int, counts binary, below binary"
+    rows = counted.select("part", "grams", "n").groupBy("part").applyInArrow(sums, schema).groupBy("last").applyInArrow(add, schema)
+    return Top([(r["last"], np.frombuffer(r["counts"]), np.frombuffer(r["below"])) for r in rows.collect()])  # 256 rows at most
+
+
+def code_lengths(counted: DataFrame, wanted: DataFrame | None, depth: int, leave_out: bool) -> DataFrame:
+    """(chunk, grams, bits), packed: code lengths of the wanted grams (chunk, part, grams), or of the counted ones, under the counted ones."""
+    top = counted.sparkSession.sparkContext.broadcast(_top(counted, depth))
+    rows = counted.select("chunk", "part", "grams", "n", F.lit(wanted is None).alias("wanted"))
+    if wanted is not None:
+        rows = rows.unionByName(wanted.select("chunk", "part", "grams", F.lit(None).cast("binary").alias("n"), F.lit(True).alias("wanted")))
+
+    def run(table: pa.Table) -> pa.Table:
+        gram, n, each = _merged(table)
+        bits = top.value.code_lengths(gram, weigh(gram, n, depth, leave_out)[0], depth, leave_out).astype(np.float32)
+        asked = table["wanted"].to_pylist()
+        mine = [packed(bits[np.searchsorted(gram, g)]) for g, w in zip(each, asked) if w]
+        asked = pa.array(asked)
+        return pa.table({"chunk": table["chunk"].filter(asked), "grams": table["grams"].filter(asked), "bits": pa.array(mine, pa.binary())})
+
+    return rows.groupBy("part").applyInArrow(run, "chunk int, grams binary, bits binary")
+
+
+def _scored(chunked: DataFrame, lengths: DataFrame, depth: int) -> DataFrame:
+    kind = chunked.schema["doc_id"].dataType.simpleString()
+
+    def run(docs: pa.Table, table: pa.Table) -> pa.Table:
+        gram = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpacked(x, np.int64)) for x in table["grams"].to_pylist())])
+        bits = np.concatenate([np.zeros(0, np.float32), *(unpacked(x, np.float32) for x in table["bits"].to_pylist())])
+        order = np.argsort(gram)
+        gram, bits = gram[order], bits[order].astype(np.float64)
+        out = []
+        for b in K.chunks(iter(docs.to_batches()), COUNT_BYTES):
+            buf, off = K.text_bytes(b.column(b.schema.get_field_index("text")))
+            size, total = np.diff(off), np.zeros(b.num_rows)
+            if len(buf):
+                d = encoded(buf, off, depth)
+                each = bits[np.searchsorted(gram, d.dictionary.to_numpy())][d.indices.to_numpy()]
+                total = np.diff(np.concatenate([[0], np.cumsum(each)])[off])
+            score = np.round(total / np.maximum(size, 1), 6)
+            out.append(pa.record_batch([b.column(b.schema.get_field_index("doc_id")), pa.array(size), pa.array(score, mask=size == 0)], ["doc_id", "n_bytes", "bits_per_byte"]))
+        return pa.Table.from_batches(out) if out else pa.table({"doc_id": docs["doc_id"], "n_bytes": pa.array([], pa.int64()), "bits_per_byte": pa.array([], pa.float64())})
+
+    left = chunked.select("__el_chunk", "doc_id", "text").groupBy("__el_chunk")
+    return left.cogroup(lengths.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, n_bytes long, bits_per_byte double")
 
 
 def score(docs: DataFrame, model: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, n_bytes, bits_per_byte) of every document."""
+    """(doc_id, n_bytes, bits_per_byte) of every document under the trees of train()'s corpus."""
+    docs = docs.select("doc_id", "text")
+    chunked = _chunked(docs, _size(docs))
+    parts = model.agg(F.max("parts")).first()[0] or 1
+    return _scored(chunked, code_lengths(model, gather(chunked, parts, depth), depth, False), depth)
+
+
+def score_corpus(docs: DataFrame, depth: int = DEPTH, leave_out: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, bits_per_byte) of every document under the trees of all, each byte coded as if it alone were not in them (or, without leave_out, were)."""
     docs = docs.select("doc_id", "text")
-    shards = model.agg(F.max("shard")).first()[0] + 1
-    files = sorted(model.inputFiles())
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def scorer(shard: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, rows = load(files, shard, depth)
-            flat = rows.ravel()
-            for b in K.chunks(batches):
-                buf, off = K.text_bytes(b.column(1))
-                ctx = contexts(buf, off, depth)
-                row = index[ctx].astype(np.int64)
-                bits = flat[(row << 8) | buf].astype(np.float64)
-                if shards > 1:
-                    bits[ctx % shards != shard] = 0
-                total = np.diff(np.concatenate([[0], np.cumsum(bits)])[off])
-                size = np.diff(off)
-                out = [b.column(0), pa.array(size), pa.array(total, mask=size == 0)]
-                if shards > 1:
-                    out.append(b.column(2))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_bytes", "bits", "h"][: len(out)])
-
-        return run
-
-    schema = f"doc_id {kind}, n_bytes long, bits double"
-    if shards == 1:
-        bits = docs.mapInArrow(scorer(0), schema)
-    else:
-        hashed = docs.withColumn("h", F.xxhash64("text"))
-        parts = hashed.mapInArrow(scorer(0), schema + ", h long")
-        for s in range(1, shards):
-            parts = parts.union(hashed.mapInArrow(scorer(s), schema + ", h long"))
-        # rows of one doc_id and text are alike: sum their shares, then list them as often as they came
-        times = F.count("*") / shards
-        bits = parts.groupBy("doc_id", "h", "n_bytes").agg((F.sum("bits") / times).alias("bits"), F.sequence(F.lit(1), times.cast("int")).alias("copies"))
-        bits = bits.select("doc_id", "n_bytes", "bits", F.explode("copies")).drop("col")
-    return bits.select("doc_id", "n_bytes", F.round(F.col("bits") / F.col("n_bytes"), 6).alias("bits_per_byte"))
-
-
-def score_corpus(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    return score(docs, train(docs, depth), depth)
+    lengths = code_lengths(train(docs, depth), None, depth, leave_out)
+    return _scored(_chunked(docs, _size(docs)), lengths, depth)
