@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 
-DEPTH, CHUNK_BYTES, PART_BYTES, COUNT_BYTES = 5, 32 << 20, 16 << 20, 4 << 20
+DEPTH, CHUNK_BYTES, PART_BYTES, COUNT_BYTES = 6, 32 << 20, 16 << 20, 4 << 20
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -208,7 +208,9 @@ def _pieces(docs: DataFrame, size: int, each: int) -> int:
 
 
 def _chunked(docs: DataFrame, size: int) -> DataFrame:
-    return docs.withColumn("__el_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(_pieces(docs, size, CHUNK_BYTES))).cast("int"))
+    """docs by chunk, in tasks of a few chunks."""
+    chunks = _pieces(docs, size, CHUNK_BYTES)
+    return K.spread(docs.withColumn("__el_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), size, "__el_chunk")
 
 
 def _size(docs: DataFrame) -> int:
@@ -263,7 +265,8 @@ def _top(counted: DataFrame, depth: int) -> Top:
         return pa.table({"last": table["last"][:1].cast(pa.int32()), "counts": pa.array(total[:1], pa.binary()), "below": pa.array(total[1:], pa.binary())})
 
     schema = "last int, counts binary, below binary"
-    rows = counted.select("part", "grams", "n").groupBy("part").applyInArrow(sums, schema).groupBy("last").applyInArrow(add, schema)
+    parts = counted.agg(F.max("parts")).first()[0] or 1
+    rows = counted.select("part", "grams", "n").repartition(parts, "part").groupBy("part").applyInArrow(sums, schema).groupBy("last").applyInArrow(add, schema)
     return Top([(r["last"], np.frombuffer(r["counts"]), np.frombuffer(r["below"])) for r in rows.collect()])  # 256 rows at most
 
 
@@ -282,7 +285,8 @@ def code_lengths(counted: DataFrame, wanted: DataFrame | None, depth: int, leave
         asked = pa.array(asked)
         return pa.table({"chunk": table["chunk"].filter(asked), "grams": table["grams"].filter(asked), "bits": pa.array(mine, pa.binary())})
 
-    return rows.groupBy("part").applyInArrow(run, "chunk int, grams binary, bits binary")
+    parts = counted.agg(F.max("parts")).first()[0] or 1
+    return rows.repartition(parts, "part").groupBy("part").applyInArrow(run, "chunk int, grams binary, bits binary")
 
 
 def _scored(chunked: DataFrame, lengths: DataFrame, depth: int) -> DataFrame:
