@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 
-DEPTH, CHUNK_BYTES, PART_BYTES, COUNT_BYTES = 6, 32 << 20, 16 << 20, 4 << 20
+DEPTH, CHUNK_BYTES, PART_BYTES, COUNT_BYTES = 6, 24 << 20, 16 << 20, 1 << 20
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -94,19 +94,31 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n[order], first) if len(keys) else n
 
 
-def encoded(buf: np.ndarray, off: np.ndarray, depth: int) -> pa.DictionaryArray:
+def of_bytes(buf: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
     """The gram of each byte."""
-    return pa.array(contexts(buf, off, depth) << 8 | buf).dictionary_encode()
+    return contexts(buf, off, depth) << 8 | buf
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(x, prepend=x[:1] - 1))
 
 
 def grams(texts: Iterable[pa.RecordBatch], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of the texts in order, and their counts."""
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """Distinct grams of the texts in order, and their counts; COUNT_BYTES are sorted at a time, and merged as they come to be as many as are held."""
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    more: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return summed(*(np.concatenate(x) for x in zip((keys, n), *more)))
+
     for b in K.chunks(iter(texts), COUNT_BYTES):
-        d = encoded(*K.text_bytes(b.column(b.schema.get_field_index("text"))), depth)
-        keys.append(d.dictionary.to_numpy())
-        counts.append(np.bincount(d.indices.to_numpy(), minlength=len(keys[-1])))
-    return summed(np.concatenate(keys), np.concatenate(counts))
+        g = of_bytes(*K.text_bytes(b.column(b.schema.get_field_index("text"))), depth)
+        g.sort()
+        first = _firsts(g)
+        more.append((g[first], np.diff(np.append(first, len(g)))))
+        if sum(len(k) for k, _ in more) > max(len(keys), 1 << 20):
+            (keys, n), more = merged(), []
+    return merged()
 
 
 def _nodes(key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,8 +314,12 @@ def _scored(chunked: DataFrame, lengths: DataFrame, depth: int) -> DataFrame:
             buf, off = K.text_bytes(b.column(b.schema.get_field_index("text")))
             size, total = np.diff(off), np.zeros(b.num_rows)
             if len(buf):
-                d = encoded(buf, off, depth)
-                each = bits[np.searchsorted(gram, d.dictionary.to_numpy())][d.indices.to_numpy()]
+                g = of_bytes(buf, off, depth)
+                place = np.argsort(g)
+                g = g[place]
+                first = _firsts(g)
+                each = np.empty(len(g))
+                each[place] = np.repeat(bits[np.searchsorted(gram, g[first])], np.diff(np.append(first, len(g))))
                 total = np.diff(np.concatenate([[0], np.cumsum(each)])[off])
             score = np.round(total / np.maximum(size, 1), 6)
             out.append(pa.record_batch([b.column(b.schema.get_field_index("doc_id")), pa.array(size), pa.array(score, mask=size == 0)], ["doc_id", "n_bytes", "bits_per_byte"]))
