@@ -100,6 +100,54 @@ def test_pairs_of_copies(spark, prose, monkeypatch):
     assert sorted({r["doc_id"] for r in ngram_join.keep_one(docs).collect()}) == ["d0", "d12", "d13"]
 
 
+def links_of(docs):
+    return {r["doc_id"]: (r["class_id"], r["links"]) for r in ngram_join.near_links(docs).collect()}
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_links_and_classes(spark, prose, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(4):  # copies of near copies, all of one another
+        text = prose(150)
+        texts += [t for i in range(6) for t in [f"{prose(1)} {text} {i}"] * rng.randint(1, 4)]
+    texts += [prose(80) for _ in range(10)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t, 3) for t in texts]
+    near = [{j for j, s in enumerate(sets) if len(s & mine) >= 0.6 * len(s | mine)} for mine in sets]
+    assert links_of(docs) == {i: (min(n), len(n) - 1) for i, n in enumerate(near)}
+    chain = [" ".join(f"w{i}" for i in range(at, at + 100)) for at in (0, 10, 20, 30, 40)]  # linked to the next one and the one after it
+    docs = spark.createDataFrame([(9 - i, t) for i, t in enumerate(chain)], "doc_id long, text string")
+    want = [sum(a != b and (d := abs(a - b)) * 10 <= 98 and (98 - 10 * d) / (98 + 10 * d) >= 0.6 for b in range(5)) for a in range(5)]
+    assert links_of(docs) == {9 - i: (5, n) for i, n in enumerate(want)}
+
+
+def test_links_of_repeated_ids(spark, prose, odd_docs):
+    a, b, c = prose(90), prose(90), prose(90)
+    near_b = f"{b} more"
+    rows = [("1", a), ("1", b), ("1", near_b), ("2", a), ("3", b), ("3", b), ("4", c), ("5", near_b), ("6", near_b)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert links_of(docs) == {"1": ("1", 4), "2": ("1", 1), "3": ("1", 3), "4": ("4", 0), "5": ("1", 3), "6": ("1", 3)}
+    got = {(r["doc_a"], r["doc_b"]) for r in ngram_join.near_pairs(docs).collect()}
+    assert got == {("1", "2"), ("1", "3"), ("1", "5"), ("1", "6"), ("3", "5"), ("3", "6"), ("5", "6")}
+    assert {r["doc_id"] for r in ngram_join.keep_one(docs).collect()} == {"1", "4"}
+    assert links_of(odd_docs) == {i: (i, 0) for i in (1, 2, 3, 9, 10)} | {5: (5, 1), 6: (5, 1), 7: (7, 1), 8: (7, 1)}
+    assert links_of(odd_docs.limit(0)) == {}
+
+
+def test_join_gives_a_row_for_each_document(spark, prose, tmp_path):
+    from __spark_entry__ import queries
+
+    text = prose(100)
+    docs = [(i, f"{text} {i}" if i < 30 else text) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["op7_ngram_jaccard_join"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "class_id", "links"]
+    assert {tuple(r) for r in got.collect()} == {(i, 0, 59) for i in range(60)} and got.count() == 60
+
+
 def test_near_odd(spark, odd_docs):
     assert {(r["doc_a"], r["doc_b"]) for r in ngram_join.near_pairs(odd_docs).collect()} == {(5, 6), (7, 8)}
     kept = ngram_join.keep_one(odd_docs)
