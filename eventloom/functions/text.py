@@ -182,5 +182,22 @@ def drop_repeat_half(c: Column) -> Column:
 
 
 def drop_repeat_phrase(c: Column) -> Column:
-    """A phrase of three words or more that comes again at once is cut."""
-    return F.regexp_replace(c, r"(?i)\b((?:\w+\s+){2,}\w+)\s+\1\b", "$1")
+    """A phrase of three words or more that comes again at once is cut; no repeated group, of which the matcher stacks every turn.
+
+    The pattern tries every length from every word, so that long texts are matched only where some words stand again at
+    a distance that a phrase next to its copy needs: one look for each multiple of each length.
+    """
+    cut = F.regexp_replace(c, r"(?i)\b(\w++\s++\w++\s++[\w\s]*\w)\s+\1\b", "$1")
+    words = F.split(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"\W+")
+    with_ = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  x is computed once
+
+    def again(w: Column, few: int, least: int, most: Column) -> Column:
+        """Whether `few` words stand again n on, least <= n <= most, at any multiple of n - few + 1, of which a phrase of n words holds one."""
+        last = F.size(w) - few
+        at = lambda n: F.sequence(F.lit(0), F.floor((last - n) / (n - few + 1)).cast("int"))
+        same = lambda i, n: F.forall(F.array(*[F.lit(j) for j in range(few)]), lambda j: F.get(w, i + j) == F.get(w, i + n + j))
+        return F.when(most >= least, F.exists(F.sequence(F.lit(least), F.greatest(most, F.lit(least))), lambda n: F.exists(at(n), lambda k: same(k * (n - few + 1), n)))).otherwise(False)
+
+    half = lambda w: F.floor(F.size(w) / 2).cast("int")
+    may = with_(words, lambda w: again(w, 3, 3, F.least(F.lit(7), half(w))) | again(w, 8, 8, half(w)))
+    return F.when((F.length(c) < 400) | may, cut).otherwise(c)

@@ -40,7 +40,11 @@ def sanitize(df: DataFrame) -> DataFrame:
         ("sparse_action", F.size(F.split("what", " ")) < 2),
         ("unfinished_action", F.col("what").rlike(r"(?i)\b(?:at|by|for|from|in|of|on|to|with)$")),
     ]
-    out = df.withColumns({"who": text.squeeze(F.col("who")), "what": text.drop_repeat_phrase(text.squeeze(F.col("what"))), "where": text.drop_repeat_half(F.col("where")), "drop_reason": F.lit(None).cast("string")})
+    # an exploded array of one, so that the checks read what is cleaned instead of cleaning it each
+    df = df.withColumn("__el_what", F.explode(F.array(text.squeeze(F.col("what")))))
+    cleaned = F.struct(text.squeeze(F.col("who")).alias("who"), text.drop_repeat_phrase(F.col("__el_what")).alias("what"), text.drop_repeat_half(F.col("where")).alias("where"))
+    out = df.withColumn("__el_x", F.explode(F.array(cleaned))).withColumns({c: F.col(f"__el_x.{c}") for c in ("who", "what", "where")})
+    out = out.drop("__el_x", "__el_what").withColumn("drop_reason", F.lit(None).cast("string"))
     for why, bad in steps:
         out = out.withColumn("drop_reason", F.coalesce("drop_reason", F.when(bad, why)))
     return out
