@@ -148,14 +148,14 @@ def resolve(incoming: DataFrame, existing: DataFrame, days: int = 7) -> DataFram
     cols = ("id", "person_name", "date_of_death", *KEYS)
     i = keyed(incoming).select(*[F.col(c).alias(f"i_{c}") for c in cols]).withColumnRenamed("i_id", "incoming_id")
     e = keyed(existing).select(*[F.col(c).alias(f"e_{c}") for c in cols]).withColumnRenamed("e_id", "existing_id")
-    same = lambda c: F.col(f"i_{c}") == F.col(f"e_{c}")
-    near = dates.within_days(F.col("i_died"), F.col("e_died"), days)
+    same = lambda c: (F.col(f"i_{c}"), F.col(f"e_{c}"))
+    near = (F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda n: F.date_add("i_died", n)), F.col("e_died"))
     rules = [
-        F.col("incoming_id") == F.col("existing_id"),
-        (F.lower("i_person_name") == F.lower("e_person_name")) & same("date_of_death"),
-        same("ends") & same("date_of_death") & same("place"),
-        same("canon") & near,
-        same("ends") & near,
+        [(F.col("incoming_id"), F.col("existing_id"))],
+        [(F.lower("i_person_name"), F.lower("e_person_name")), same("date_of_death")],
+        [same("ends"), same("date_of_death"), same("place")],
+        [same("canon"), near],
+        [same("ends"), near],
     ]
     best = joins.ranked(i, e, rules, "incoming_id", "existing_id")
     by_url = i.select("incoming_id", F.explode("i_urls").alias("u")).join(e.select("existing_id", F.explode("e_urls").alias("u")), "u")

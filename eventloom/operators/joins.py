@@ -77,14 +77,22 @@ def near_in_time(rows: DataFrame, key: str, ts: str, tie: str, days: int) -> Dat
     return a.join(b, (F.col(key) == F.col("__el_k")) & (F.col("__el_b") == F.col("__el_b2")) & close).drop("__el_k", "__el_b", "__el_b2")
 
 
-def ranked(rows: DataFrame, targets: DataFrame, rules: Sequence[Column], row_id: str, target_id: str) -> DataFrame:
+def ranked(rows: DataFrame, targets: DataFrame, rules: Sequence[Sequence[tuple[Column, Column]]], row_id: str, target_id: str) -> DataFrame:
     """(row_id, target_id, rule): for each row the target that the first rule finds, of equals the least id.
 
-    Each rule is its own join, so that each can be an equi-join; the best of their union is an aggregate.
+    A rule is the pairs (key of a row, key of a target) that must be equal; of a row's key that is an array, any element.
+    The targets of equal keys are folded to the least id before they are joined, so that a row meets one of them at
+    most, however many match; the best of the rules' union is an aggregate.
     """
     found = None
     for i, rule in enumerate(rules):
-        hit = rows.join(targets, rule).select(row_id, target_id, F.lit(i + 1).alias("rule"))
+        on = [f"__el_k{j}" for j in range(len(rule))]
+        near = rows.select(row_id, *[a.alias(k) for (a, _), k in zip(rule, on)])
+        for k in on:
+            if near.schema[k].dataType.typeName() == "array":
+                near = near.withColumn(k, F.explode(k))
+        best = targets.select(target_id, *[b.alias(k) for (_, b), k in zip(rule, on)]).groupBy(*on).agg(F.min(F.struct(target_id)).alias("__el_t"))
+        hit = near.join(best, on).select(row_id, F.col(f"__el_t.{target_id}").alias(target_id), F.lit(i + 1).alias("rule"))
         found = hit if found is None else found.union(hit)
     best = F.min(F.struct("rule", target_id))
     return found.groupBy(row_id).agg(best.alias("b")).select(row_id, F.col(f"b.{target_id}").alias(target_id), F.col("b.rule").alias("rule"))

@@ -315,8 +315,8 @@ def interval_self_join(spark, sf_dir):
     "ON c_nationkey = s_nationkey AND (c_custkey = s_suppkey OR floor(c_acctbal / 100) = floor(s_acctbal / 100) OR c_custkey % 500 = s_suppkey)) SELECT c_custkey, arg_min(s_suppkey, (r, s_suppkey)) AS s_suppkey, min(r) AS rule FROM h GROUP BY 1"
 )
 def ranked_identity_match(spark, sf_dir):
-    c, s, same = t(spark, sf_dir, "customer"), t(spark, sf_dir, "supplier"), F.col("c_nationkey") == F.col("s_nationkey")
-    rules = [same & (F.col("c_custkey") == F.col("s_suppkey")), same & (F.floor(F.col("c_acctbal") / 100) == F.floor(F.col("s_acctbal") / 100)), same & (F.col("c_custkey") % 500 == F.col("s_suppkey"))]
+    c, s, same = t(spark, sf_dir, "customer"), t(spark, sf_dir, "supplier"), (F.col("c_nationkey"), F.col("s_nationkey"))
+    rules = [[same, (F.col("c_custkey"), F.col("s_suppkey"))], [same, (F.floor(F.col("c_acctbal") / 100), F.floor(F.col("s_acctbal") / 100))], [same, (F.col("c_custkey") % 500, F.col("s_suppkey"))]]
     return J.ranked(c, s, rules, "c_custkey", "s_suppkey")
 
 
